@@ -1,6 +1,621 @@
-"""Every registered query with its DuckDB twin."""
+"""Every registered query with its DuckDB twin.
+
+Twins are written from the raw tables, not from what the operators make of
+them.  Queries whose answer SQL cannot give have no twin and are tested by
+hand-made expectations.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import corpus as C
+from ..operators import documents as D
+from ..operators import segments as G
+from ..operators import transforms as T
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _pages(spark, d):
+    return D.nodes(_t(spark, d, "pages"), "html", "page_id", "html")
+
+
+# -- pages ------------------------------------------------------------------
+
+
+@query()
+def page_kind_census(spark, d):
+    return C.kind_census(_pages(spark, d))
+
+
+@query(
+    """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS language,
+              regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset
+       FROM pages"""
+)
+def page_metadata(spark, d):
+    docs = D.docs(_t(spark, d, "pages"), "html", "page_id", "html")
+    pick = lambda k: F.coalesce(F.get_json_object("metadata", f"$.{k}"), F.lit("")).alias(k)
+    return docs.select(F.col("doc_id").alias("page_id"), pick("language"), pick("charset"))
+
+
+@query(
+    """SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title
+       FROM pages"""
+)
+def page_titles(spark, d):
+    docs = D.docs(_t(spark, d, "pages"), "html", "page_id", "html")
+    return docs.select(F.col("doc_id").alias("page_id"), F.coalesce(F.get_json_object("metadata", "$.title"), F.lit("")).alias("title"))
+
+
+@query(
+    """SELECT page_id, u AS url, count(*) AS n
+       FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS u FROM pages) GROUP BY ALL"""
+)
+def page_links(spark, d):
+    links = _pages(spark, d).where("kind = 'link'")
+    return (
+        links.select(F.col("doc_id").alias("page_id"), F.get_json_object("props", "$.url").alias("url"))
+        .groupBy("page_id", "url")
+        .agg(F.count("*").alias("n"))
+    )
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<h1>')) AS headings FROM pages WHERE html LIKE '%<h1>%'")
+def page_headings(spark, d):
+    return _pages(spark, d).where("kind = 'heading' AND level = 1").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("headings"))
+
+
+@query()
+def page_features(spark, d):
+    return C.node_features(_pages(spark, d))
+
+
+@query()
+def page_warnings(spark, d):
+    return D.warnings(_t(spark, d, "pages"), "html", "page_id", "html")
+
+
+@query()
+def page_to_markdown(spark, d):
+    return D.emit(_pages(spark, d), "markdown")
+
+
+@query()
+def page_strip_and_merge(spark, d):
+    clean = T.pipeline(T.strip_empty, T.merge_text, T.unwrap_single_child)(_pages(spark, d))
+    return C.kind_census(clean)
+
+
+# -- trees of lines and turns ------------------------------------------------
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10))) AS paragraphs FROM documents")
+def doc_paragraphs(spark, d):
+    nodes = D.line_nodes(_t(spark, d, "documents"))
+    return nodes.where("kind = 'paragraph'").groupBy("doc_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+       k AS (SELECT doc_id, count(*) FILTER (WHERE NOT regexp_full_match(line, '\s*')) AS texts, count(*) AS paragraphs FROM l GROUP BY doc_id)
+       SELECT doc_id, paragraphs, texts, 1 + paragraphs + texts AS nodes FROM k"""
+)
+def strip_empty(spark, d):
+    nodes = T.strip_empty(D.line_nodes(_t(spark, d, "documents")))
+    return nodes.groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "paragraph").alias("paragraphs"),
+        F.count_if(F.col("kind") == "text").alias("texts"),
+        F.count("*").alias("nodes"),
+    )
+
+
+@query(
+    """WITH k AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+       SELECT conv_id AS doc_id, (4 * k + 4)::INT AS node_id, (4 * k + 3)::INT AS parent_id, role || ': ' || coalesce(text, '') AS content FROM k"""
+)
+def merge_text(spark, d):
+    merged = T.merge_text(D.turn_nodes(_t(spark, d, "conversations")))
+    return merged.where("kind = 'text' AND depth = 2 AND node_id % 4 = 0").select("doc_id", "node_id", "parent_id", "content")
+
+
+@query(
+    """WITH k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations)
+       SELECT conv_id AS doc_id, (6 * k + 1)::INT AS node_id, least(6, k % 6 + 3)::INT AS level FROM k"""
+)
+def shift_headings(spark, d):
+    moved = T.shift_headings(D.turn_nodes(_t(spark, d, "conversations")), 2)
+    return moved.where("kind = 'heading'").select("doc_id", "node_id", "level")
+
+
+@query(
+    """WITH k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k,
+                         count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+       SELECT conv_id AS doc_id, (3 * k + 3)::INT AS node_id, 0 AS parent_id, (2 * k + 1)::INT AS ordinal, 1 AS depth FROM k"""
+)
+def unwrap_single_child(spark, d):
+    # After merging, each turn's div has one text child and is unwrapped.
+    nodes = T.pipeline(T.merge_text, T.unwrap_single_child)(D.turn_nodes(_t(spark, d, "conversations")))
+    return nodes.where("kind = 'text' AND parent_id = 0").select("doc_id", "node_id", "parent_id", "ordinal", "depth")
+
+
+@query(
+    """WITH k AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)
+       SELECT conv_id AS doc_id, 'document' AS ancestor_kind, 6 * n AS n FROM k
+       UNION ALL SELECT conv_id, 'heading', n FROM k UNION ALL SELECT conv_id, 'div', 3 * n FROM k"""
+)
+def node_ancestors(spark, d):
+    pairs = T.ancestors(D.turn_nodes(_t(spark, d, "conversations")))
+    return pairs.groupBy("doc_id", "ancestor_kind").agg(F.count("*").alias("n"))
+
+
+@query()
+def compare_trees(spark, d):
+    nodes = D.turn_nodes(_t(spark, d, "conversations"))
+    return C.compare_trees(nodes, T.merge_text(nodes)).groupBy("difference").agg(F.count("*").alias("n"))
+
+
+# -- words --------------------------------------------------------------------
+
+_WORDS = r"""SELECT {id}, regexp_replace(w, '[^\p{{L}}]', '', 'g') AS word
+             FROM (SELECT {id}, unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS w FROM {t})
+             WHERE strlen(regexp_replace(w, '[^\p{{L}}]', '', 'g')) >= 2"""
+
+
+@query(
+    f"""WITH w AS ({_WORDS.format(id="doc_id", t="documents")})
+        SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct FROM w GROUP BY doc_id"""
+)
+def doc_word_counts(spark, d):
+    counts = C.word_counts(_t(spark, d, "documents"), "doc_id")
+    return counts.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+
+
+@query(
+    f"""WITH r AS (SELECT item_id, word, count(*) AS n FROM ({_WORDS.format(id="item_id", t="benchmark")}) GROUP BY ALL),
+        o AS (SELECT word, count(*) AS o FROM ({_WORDS.format(id="doc_id", t="documents")}) GROUP BY word)
+        SELECT item_id, sum(n)::BIGINT AS ref_words, sum(least(n, coalesce(o, 0)))::BIGINT AS found,
+               round(sum(least(n, coalesce(o, 0))) / sum(n), 6) AS coverage
+        FROM r LEFT JOIN o USING (word) GROUP BY item_id"""
+)
+def word_coverage(spark, d):
+    ref = C.word_counts(_t(spark, d, "benchmark"), "item_id")
+    ours = C.word_counts(_t(spark, d, "documents"), "doc_id").groupBy("word").agg(F.sum("n").alias("n"))
+    return C.word_coverage(ref, ours, "item_id")
+
+
+@query(
+    f"""WITH r AS (SELECT word, count(*) AS n FROM ({_WORDS.format(id="item_id", t="benchmark")}) GROUP BY word),
+        o AS (SELECT word, count(*) AS o FROM ({_WORDS.format(id="doc_id", t="documents")}) GROUP BY word)
+        SELECT word, n - coalesce(o, 0) AS deficit FROM r LEFT JOIN o USING (word) WHERE n > coalesce(o, 0)"""
+)
+def missing_words(spark, d):
+    total = lambda t, i: C.word_counts(_t(spark, d, t), i).groupBy("word").agg(F.sum("n").alias("n"))
+    return C.missing_words(total("benchmark", "item_id"), total("documents", "doc_id"))
+
+
+# -- corpus -------------------------------------------------------------------
+
+
+def _features(spark, d) -> DataFrame:
+    """Stand-in features of ``documents``: lines as paragraphs, capitals as bold, digits, links, pipes."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return _t(spark, d, "documents").select(
+        "doc_id",
+        "source",
+        "lang",
+        F.size(F.split(t, "\n")).cast("long").alias("paragraphs"),
+        F.regexp_count(t, F.lit(r"https?://")).cast("long").alias("links"),
+        F.regexp_count(t, F.lit(r"[|]")).cast("long").alias("tables"),
+        F.regexp_count(t, F.lit(r"[0-9]+")).cast("long").alias("styles"),
+        F.regexp_count(t, F.lit(r"[!?]")).cast("long").alias("fonts"),
+    )
+
+
+_FEATURES = r"""SELECT doc_id, source, lang, len(string_split(text, chr(10))) AS paragraphs,
+    len(regexp_extract_all(text, 'https?://')) AS links, len(regexp_extract_all(text, '[|]')) AS tables,
+    len(regexp_extract_all(text, '[0-9]+')) AS styles, len(regexp_extract_all(text, '[!?]')) AS fonts FROM documents"""
+_CASES = f"""WITH f AS ({_FEATURES}), c AS (
+    SELECT doc_id, 'many_paragraphs' AS case_type, paragraphs AS value, CASE WHEN paragraphs >= 5000 THEN 'rare' WHEN paragraphs >= 2000 THEN 'unusual' WHEN paragraphs >= 1000 THEN 'noteworthy' END AS severity FROM f
+    UNION ALL SELECT doc_id, 'many_tables', tables, CASE WHEN tables >= 100 THEN 'rare' WHEN tables >= 50 THEN 'unusual' END FROM f
+    UNION ALL SELECT doc_id, 'many_fonts', fonts, CASE WHEN fonts >= 50 THEN 'rare' WHEN fonts >= 20 THEN 'unusual' END FROM f
+    UNION ALL SELECT doc_id, 'many_styles', styles, CASE WHEN styles >= 50 THEN 'unusual' END FROM f
+    UNION ALL SELECT doc_id, 'links', links, CASE WHEN links >= 1 THEN 'info' END FROM f),
+  e AS (SELECT *, CASE severity WHEN 'info' THEN 0 WHEN 'noteworthy' THEN 1 WHEN 'unusual' THEN 2 ELSE 3 END AS severity_rank FROM c WHERE severity IS NOT NULL)"""
+
+
+@query(
+    f"""WITH f AS ({_FEATURES}), p AS (
+        SELECT 'has_links' AS feature, count(*) FILTER (WHERE links > 0) AS n_docs, count(*) AS total FROM f
+        UNION ALL SELECT 'has_tables', count(*) FILTER (WHERE tables > 0), count(*) FROM f
+        UNION ALL SELECT 'multi_paragraph', count(*) FILTER (WHERE paragraphs > 1), count(*) FROM f)
+        SELECT feature, n_docs, total, round(n_docs * 100.0::DOUBLE / total, 6) AS pct FROM p"""
+)
+def feature_prevalence(spark, d):
+    c = F.col
+    return C.prevalence(
+        _features(spark, d), {"has_links": c("links") > 0, "has_tables": c("tables") > 0, "multi_paragraph": c("paragraphs") > 1}
+    )
+
+
+@query(
+    f"""WITH f AS ({_FEATURES}) SELECT max(paragraphs) AS max_paragraphs, sum(paragraphs)::BIGINT AS sum_paragraphs,
+        max(tables) AS max_tables, sum(tables)::BIGINT AS sum_tables, max(links) AS max_links, sum(links)::BIGINT AS sum_links FROM f"""
+)
+def feature_extremes(spark, d):
+    return _features(spark, d).agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("paragraphs", "tables", "links") for n, f in (("max", F.max), ("sum", F.sum))]
+    )
+
+
+@query("SELECT lang AS value, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY lang")
+def value_distribution(spark, d):
+    return _t(spark, d, "documents").groupBy(F.col("lang").alias("value")).agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(_CASES + " SELECT case_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY case_type")
+def edge_cases_by_type(spark, d):
+    return C.edge_cases(_features(spark, d)).groupBy("case_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(_CASES + " SELECT severity, count(*) AS n FROM e GROUP BY severity")
+def edge_cases_by_severity(spark, d):
+    return C.edge_cases(_features(spark, d)).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+@query(_CASES + " SELECT case_type, max(value) AS max_value FROM e GROUP BY case_type")
+def edge_case_max(spark, d):
+    return C.edge_cases(_features(spark, d)).groupBy("case_type").agg(F.max("value").alias("max_value"))
+
+
+@query(
+    _CASES
+    + """, w AS (SELECT doc_id, case_type, severity_rank, row_number() OVER (PARTITION BY doc_id ORDER BY severity_rank DESC, case_type) AS k FROM e WHERE severity_rank >= 1)
+    SELECT doc_id, case_type AS reason, severity_rank FROM w WHERE k = 1"""
+)
+def interest_reason(spark, d):
+    return C.interest_reason(C.edge_cases(_features(spark, d)))
+
+
+@query(
+    _CASES
+    + """ SELECT f.doc_id, f.paragraphs FROM f WHERE f.paragraphs <= 50 AND f.styles > 0
+        AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = f.doc_id AND severity_rank >= 2)"""
+)
+def fixture_criteria(spark, d):
+    f = _features(spark, d)
+    loud = C.edge_cases(f).where("severity_rank >= 2").select("doc_id").distinct()
+    return f.where("paragraphs <= 50 AND styles > 0").join(loud, "doc_id", "left_anti").select("doc_id", "paragraphs")
+
+
+def _store(spark, d) -> DataFrame:
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id",
+        F.concat(F.lit("doc-"), F.col("doc_id")).alias("path"),
+        F.col("source").alias("corpus"),
+        (F.coalesce("quality", F.lit(1)) == 1).alias("parse_success"),
+        F.when(F.col("quality") == 0, F.when(F.col("toxic") == 1, "xml malformed").otherwise("zip broken")).alias("error_message"),
+    )
+
+
+_STORE = """SELECT d.doc_id, 'doc-' || d.doc_id AS path, source AS corpus, coalesce(quality, 1) = 1 AS parse_success,
+    CASE WHEN quality = 0 THEN CASE WHEN toxic = 1 THEN 'xml_malformed' ELSE 'zip_corruption' END END AS error_category
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+
+
+@query(
+    f"""WITH s AS ({_STORE}) SELECT corpus, count(*) AS total, count(*) FILTER (WHERE parse_success) AS successes,
+        count(*) FILTER (WHERE NOT parse_success) AS failures,
+        round(count(*) FILTER (WHERE parse_success) * 100.0::DOUBLE / count(*), 6) AS success_rate FROM s GROUP BY corpus"""
+)
+def corpus_stats(spark, d):
+    return C.corpus_stats(_store(spark, d))
+
+
+@query(f"WITH s AS ({_STORE}) SELECT error_category, count(*) AS n FROM s WHERE NOT parse_success GROUP BY error_category")
+def error_breakdown(spark, d):
+    failed = _store(spark, d).where("NOT parse_success")
+    return failed.groupBy(C.error_category(F.col("error_message")).alias("error_category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT source AS corpus FROM documents")
+def list_corpora(spark, d):
+    return _store(spark, d).select("corpus").distinct().orderBy("corpus")
+
+
+@query(
+    f"""WITH s AS ({_STORE}), u AS (SELECT path, corpus, parse_success, error_category, 1 AS wrote FROM s
+        UNION ALL SELECT path, corpus, NOT parse_success, 'unknown', 2 FROM s WHERE doc_id % 10 = 0),
+        w AS (SELECT *, row_number() OVER (PARTITION BY path, corpus ORDER BY wrote DESC) AS k FROM u)
+        SELECT path, corpus, parse_success, CASE WHEN NOT parse_success THEN error_category END AS error_category,
+               CASE WHEN parse_success THEN '{{}}' END AS features_json FROM w WHERE k = 1"""
+)
+def corpus_upsert(spark, d):
+    s = _store(spark, d)
+    old = s.select("path", "corpus", "parse_success", C.error_category(F.col("error_message")).alias("error_category"), F.lit("{}").alias("features_json"), F.lit(1).alias("at"))
+    new = s.where("doc_id % 10 = 0").select("path", "corpus", (~F.col("parse_success")).alias("parse_success"), F.lit("unknown").alias("error_category"), F.lit("{}").alias("features_json"), F.lit(2).alias("at"))
+    return C.upsert(old, new, "at").drop("at")
+
+
+@query(f"WITH s AS ({_STORE}) SELECT path, parse_success FROM s WHERE corpus <> 'src3'")
+def corpus_delete(spark, d):
+    return _store(spark, d).where("corpus <> 'src3'").select("path", "parse_success")
+
+
+@query(
+    """WITH c AS (SELECT o_orderpriority AS name, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT count(*) AS t FROM orders)
+       SELECT name, n, round(n * 100.0::DOUBLE / t, 6) AS pct,
+              CASE WHEN n * 100.0 / t > 50 THEN '***' WHEN n * 100.0 / t > 10 THEN '**' WHEN n * 100.0 / t > 1 THEN '*' ELSE '' END AS marker FROM c, t"""
+)
+def attribute_report(spark, d):
+    counts = _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("n"))
+    return C.attribute_report(counts.withColumn("_t", F.sum("n").over(Window.partitionBy())), F.col("_t"))
+
+
+@query(
+    """SELECT n_nationkey AS known FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 10)"""
+)
+def coverage_missing(spark, d):
+    known, seen = _t(spark, d, "nation"), _t(spark, d, "supplier").where("s_suppkey <= 10")
+    return known.join(seen, known["n_nationkey"] == seen["s_nationkey"], "left_anti").select(F.col("n_nationkey").alias("known"))
+
+
+@query(
+    """SELECT event_type AS element, count(*) AS n, count(DISTINCT user_id) AS n_docs FROM events
+       WHERE event_type NOT IN ('click', 'view') GROUP BY event_type"""
+)
+def coverage_unknown(spark, d):
+    known = spark.createDataFrame([("click",), ("view",)], "event_type string")
+    seen = _t(spark, d, "events").join(F.broadcast(known), "event_type", "left_anti")
+    return seen.groupBy(F.col("event_type").alias("element")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_docs"))
+
+
+@query("SELECT DISTINCT p_type AS style FROM part WHERE p_brand NOT IN (SELECT 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 5 + 1) FROM supplier)")
+def unresolved_refs(spark, d):
+    k = (F.col("s_suppkey") % 5 + 1).cast("string")
+    defined = _t(spark, d, "supplier").select(F.concat(F.lit("Brand#"), k, k).alias("p_brand")).distinct()
+    return _t(spark, d, "part").join(defined, "p_brand", "left_anti").select(F.col("p_type").alias("style")).distinct()
+
+
+@query(
+    """WITH r AS (SELECT s_suppkey, round(s_acctbal * 2)::BIGINT AS half FROM supplier),
+            m AS (SELECT half, count(*) AS n FROM r GROUP BY half)
+       SELECT half / 2.0::DOUBLE AS mode_size, n FROM m ORDER BY n DESC, half LIMIT 1"""
+)
+def body_text_mode_size(spark, d):
+    half = F.round(F.col("s_acctbal") * 2).cast("long").alias("half")
+    counts = _t(spark, d, "supplier").groupBy(half).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.col("n").desc(), "half").limit(1).select((F.col("half") / 2.0).alias("mode_size"), "n")
+
+
+# -- scalars ------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT l_orderkey % 45000 + 0.0 AS serial FROM lineitem UNION SELECT 60.0 UNION SELECT 0.5 UNION SELECT 61.0)
+       SELECT serial::DOUBLE AS serial, CASE WHEN serial < 1 THEN NULL WHEN floor(serial) = 60 THEN '1900-02-29'
+              ELSE strftime(DATE '1899-12-31' + (floor(serial)::INT - CASE WHEN floor(serial) > 60 THEN 1 ELSE 0 END), '%Y-%m-%d') END AS iso FROM s"""
+)
+def excel_serial_date(spark, d):
+    serial = _t(spark, d, "lineitem").select((F.col("l_orderkey") % 45000).cast("double").alias("serial"))
+    more = spark.createDataFrame([(60.0,), (0.5,), (61.0,)], "serial double")
+    return serial.union(more).distinct().select("serial", S.excel_date(F.col("serial")).alias("iso"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN c <= 26 THEN chr((64 + c)::INT) WHEN c <= 702 THEN chr((65 + (c - 27) // 26)::INT) || chr((65 + (c - 1) % 26)::INT)
+              ELSE chr((65 + (c - 703) // 676)::INT) || chr((65 + (c - 703) // 26 % 26)::INT) || chr((65 + (c - 1) % 26)::INT) END AS letters
+       FROM (SELECT p_partkey, (p_partkey * 7) % 16384 + 1 AS c FROM part)"""
+)
+def column_letter(spark, d):
+    c = (F.col("p_partkey") * 7) % 16384 + 1
+    return _t(spark, d, "part").select("p_partkey", S.column_letter(c).alias("letters"))
+
+
+@query("SELECT p_partkey, ((p_partkey * 7) % 16384 + 1)::INT AS col, (p_partkey % 1000 + 1)::INT AS row_no FROM part")
+def a1_reference(spark, d):
+    ref = F.concat(S.column_letter((F.col("p_partkey") * 7) % 16384 + 1), (F.col("p_partkey") % 1000 + 1).cast("string"))
+    return _t(spark, d, "part").withColumn("ref", ref).select(
+        "p_partkey", S.column_number(F.col("ref")).alias("col"), S.row_number(F.col("ref")).alias("row_no")
+    )
+
+
+_CODES = {
+    "General": "number", "0.00": "number", "0%": "percentage", "m/d/yy": "date", "h:mm:ss": "time", "m/d/yy h:mm": "datetime",
+    "[h]:mm": "time", '"Days"0': "number", "[Red]0": "number", "[$-409]0": "currency", '"$"#,##0': "currency", "mm": "number",
+    "#,##0;[Red]yy": "number", "yyyy\\-0": "date",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in _CODES.items()) + ") t(code, kind)")
+def classify_number_format(spark, d):
+    codes = spark.createDataFrame([(k,) for k in _CODES], "code string")
+    return codes.select("code", S.number_kind(F.col("code")).alias("kind"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey::VARCHAR WHEN c_custkey % 3 = 1 THEN c_name ELSE CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END END AS shown FROM customer")
+def cell_value_coerce(spark, d):
+    k = F.col("c_custkey") % 3
+    kind = F.when(k == 0, "number").when(k == 1, "string").otherwise("boolean")
+    return _t(spark, d, "customer").select(
+        "c_custkey", S.cell_display(kind, F.col("c_custkey").cast("double"), F.col("c_name"), F.col("c_acctbal") > 0).alias("shown")
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[,"\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM documents""")
+def csv_escape(spark, d):
+    return _t(spark, d, "documents").select("doc_id", S.csv_escape(F.col("text")).alias("field"))
+
+
+@query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM documents""")
+def escape_html(spark, d):
+    return _t(spark, d, "documents").select("doc_id", S.escape_html(F.col("text")).alias("escaped"))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'range' ELSE 'ambiguous' END AS kind,
+              CASE WHEN p_partkey % 3 < 2 THEN p_partkey::VARCHAR END AS first_page, CASE WHEN p_partkey % 3 = 1 THEN (p_partkey + p_size)::VARCHAR END AS last_page FROM part"""
+)
+def page_ranges(spark, d):
+    k = F.col("p_partkey").cast("string")
+    text = F.when(F.col("p_partkey") % 3 == 0, k).when(F.col("p_partkey") % 3 == 1, F.concat(k, F.lit("–"), F.col("p_partkey") + F.col("p_size"))).otherwise(F.concat(F.lit("e"), k))
+    r = S.split_page_range(text)
+    return _t(spark, d, "part").select("p_partkey", r["kind"].alias("kind"), r["first"].alias("first_page"), r["last"].alias("last_page"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS clean FROM documents")
+def normalize_whitespace(spark, d):
+    return _t(spark, d, "documents").select("doc_id", S.normalize_whitespace(F.col("text")).alias("clean"))
+
+
+@query("SELECT s_suppkey, CASE WHEN r >= 1.8 THEN 1 WHEN r >= 1.4 THEN 2 ELSE 3 END AS level FROM (SELECT s_suppkey, (s_suppkey % 12 + 8) / 10.0 AS r FROM supplier)")
+def pdf_heading_level(spark, d):
+    return _t(spark, d, "supplier").select("s_suppkey", S.heading_level(F.col("s_suppkey") % 12 + 8, F.lit(10)).alias("level"))
+
+
+# -- implicit joins ------------------------------------------------------------
+
+
+@query(
+    """WITH r AS (SELECT n_nationkey AS id, n_regionkey AS top, n_regionkey + n_nationkey % 3 AS bottom FROM nation)
+       SELECT p_partkey, min(id) AS width_id FROM (SELECT p_partkey, p_size % 7 AS c FROM part) p JOIN r ON c BETWEEN top AND bottom GROUP BY p_partkey"""
+)
+def column_width_lookup(spark, d):
+    ranges = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.explode(F.sequence("n_regionkey", F.col("n_regionkey") + F.col("n_nationkey") % 3)).alias("c"))
+    cols = _t(spark, d, "part").select("p_partkey", (F.col("p_size") % 7).alias("c"))
+    # Ranges of columns are short: written out, the range join is an equi-join.
+    return cols.join(ranges.groupBy("c").agg(F.min("id").alias("width_id")), "c").select("p_partkey", "width_id")
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'Error: #REF!') AS shown FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON c_nationkey = n_nationkey")
+def shared_strings(spark, d):
+    strings = _t(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return _t(spark, d, "customer").join(strings, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("Error: #REF!")).alias("shown"))
+
+
+@query("SELECT n_nationkey, n_regionkey AS r1, n_nationkey AS c1, CASE WHEN n_nationkey % 4 = 0 THEN 2 END AS row_span FROM nation")
+def merged_range_cells(spark, d):
+    cells = _t(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r1"), F.col("n_nationkey").alias("c1"))
+    merges = cells.where("n_nationkey % 4 = 0").select("r1", "c1", F.lit(2).alias("row_span"))
+    return cells.join(merges, ["r1", "c1"], "left").select("n_nationkey", "r1", "c1", "row_span")
+
+
+@query(
+    """SELECT l_returnflag, coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 0)::BIGINT AS o, coalesce(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 0)::BIGINT AS f
+       FROM lineitem GROUP BY l_returnflag"""
+)
+def pivot_table(spark, d):
+    p = _t(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.sum("l_quantity"))
+    return p.select("l_returnflag", *[F.coalesce(k, F.lit(0)).cast("long").alias(k.lower()) for k in ("O", "F")])
+
+
+# -- windows -------------------------------------------------------------------
+
+
+def _turns(spark, d):
+    return _t(spark, d, "conversations")
+
+
+@query(
+    """SELECT conv_id, turn, (sum(CASE WHEN role = 'user' AND k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::INT AS chunk
+       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)"""
+)
+def conv_chunks(spark, d):
+    return G.chunks(_turns(spark, d), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn", "chunk")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, (sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn))::INT AS slide FROM conversations)
+       SELECT * FROM s WHERE slide > 0"""
+)
+def conv_slides(spark, d):
+    return G.slides(_turns(spark, d), "conv_id", "turn", F.col("role") == "assistant").select("conv_id", "turn", "slide")
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS toc_level, left(text, 20) AS toc_title,
+              (greatest(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn), 1) - 1)::INT AS chunk FROM conversations"""
+)
+def conv_toc(spark, d):
+    level = F.when(F.col("role") == "user", 1).otherwise(2)
+    return G.table_of_contents(_turns(spark, d), "conv_id", "turn", level, F.substring("text", 1, 20)).select("conv_id", "turn", "toc_level", "toc_title", "chunk")
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) + 4)::INT AS item_no FROM conversations")
+def list_numbering(spark, d):
+    return G.numbered(_turns(spark, d), ["conv_id"], ["turn"], start=5).select("conv_id", "turn", "item_no")
+
+
+@query("SELECT n_regionkey, n_name, max(strlen(n_name)) OVER (PARTITION BY n_regionkey) AS width FROM nation")
+def table_column_width(spark, d):
+    return _t(spark, d, "nation").select("n_regionkey", "n_name", F.max(F.octet_length("n_name")).over(Window.partitionBy("n_regionkey")).cast("long").alias("width"))
+
+
+@query(
+    """SELECT source, doc_id, rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents) WHERE rank <= 3"""
+)
+def top_k_per_group(spark, d):
+    return G.top_per_group(_t(spark, d, "documents"), ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 3).select("source", "doc_id", "rank")
+
+
+# -- sinks and queries over JSON --------------------------------------------------
+
+
+@query(
+    """SELECT 0 AS doc_id, 'r_regionkey,r_name' || chr(10) || string_agg(r_regionkey || ',' || r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS output FROM region"""
+)
+def csv_emit_region(spark, d):
+    row = F.concat_ws(",", S.csv_escape(F.col("r_regionkey").cast("string")), S.csv_escape(F.col("r_name")))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", row.alias("line")))), lambda x: x["line"]), "\n")
+    return _t(spark, d, "region").agg(F.concat(F.lit("r_regionkey,r_name\n"), lines, F.lit("\n")).alias("output")).select(F.lit(0).alias("doc_id"), "output")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events")
+def jq_path(spark, d):
+    from ..plans.jq import compile_query
+
+    out = compile_query(".k").run(_t(spark, d, "events"), "event_id", "props")
+    return out.select("event_id", F.col("value").cast("long").alias("value"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")
+def jq_select(spark, d):
+    from ..plans.jq import compile_query
+
+    out = compile_query("select(.k > 50) | .k").run(_t(spark, d, "events"), "event_id", "props")
+    return out.select("event_id", F.col("value").cast("long").alias("value"))
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.nope') AS BIGINT), 7) AS value FROM events")
+def jq_alternative(spark, d):
+    from ..plans.jq import compile_query
+
+    out = compile_query(".nope // 7").run(_t(spark, d, "events"), "event_id", "props")
+    return out.select("event_id", F.col("value").cast("long").alias("value"))
+
+
+@query()
+def jq_recurse_kinds(spark, d):
+    from ..plans.jq import compile_query
+
+    expr = "[.. | .kind?] | map(select(. != null)) | group_by(.) | map({kind: .[0], n: length})"
+    return compile_query(expr).run_documents(_t(spark, d, "pages"), "html", "page_id", "html")
