@@ -4,11 +4,12 @@ A byte goes if a 100-byte string that covers it also starts earlier in the
 corpus.  To bring equal strings together without sorting the whole corpus as
 one array, every 100-byte string is filed under the 32-byte gram with the
 least hash inside it: equal strings have equal grams.  Neighbouring strings
-that share a gram travel as one segment of text, so a byte travels about four
-times, compressed, and documents are never joined with each other.
+that share a gram make one segment.  First only hashes and places of segments
+travel; those whose gram occurs once cannot repeat and end there.  Then the
+texts of the other segments travel, compressed, and documents are never joined
+with each other.
 
-Segments whose gram occurs once cannot repeat and are dropped where they
-arrive.  The rest are cut into blocks of whole grams; each block gets a suffix
+Arrived segments are cut into blocks of whole grams; each block gets a suffix
 array by two-stage sorting: suffixes smaller than their successor are sorted
 directly, the others are induced from them by scanning the buckets of their
 first byte.  Common prefixes of neighbours in the array show the equal
@@ -211,100 +212,202 @@ def _runs(doc: np.ndarray, pos: np.ndarray, span: int) -> tuple[np.ndarray, np.n
     return doc[cut], pos[cut], pos[ends] + span
 
 
+def _scanned(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple]:
+    """Segments of about ``FLUSH`` bytes of text at a time: gram hash, document, start, length."""
+    texts: list[bytes] = []
+    marks: list[tuple[int, int]] = []  # document, and where the part starts in it
+    held, scanned, pieces = 0, 0, []
+
+    def scan():
+        nonlocal texts, marks, held, scanned
+        if texts:
+            buf = np.frombuffer(b"".join(texts), np.uint8)
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            ends = np.cumsum(size)
+            h, first, last = segments(buf, ends, span)
+            which = np.searchsorted(ends, first, side="right")
+            docs = np.array([m[0] for m in marks], np.int64)
+            shift = np.array([m[1] for m in marks], np.int64) - (ends - size)
+            pieces.append((h, docs[which], first + shift[which], last - first + span))
+            scanned += len(buf)
+        texts, marks, held = [], [], 0
+
+    for b in batches:
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            body = text.as_buffer().to_pybytes() if text.is_valid else b""
+            if len(body) < span or doc is None:
+                continue
+            # A very long text is scanned in parts that overlap by one string less a byte.
+            for at in range(0, max(1, len(body) - span + 1), SCAN // 2):
+                part = body[at : at + SCAN // 2 + span - 1]
+                if held + len(part) > SCAN - 1:
+                    scan()
+                texts.append(part)
+                marks.append((doc, at))
+                held += len(part)
+                if scanned + held >= FLUSH:
+                    scan()
+                    yield tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+                    pieces, scanned = [], 0
+    scan()
+    if pieces:
+        yield tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with the places of its elements, in order."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else order
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["_bucket", "_blob"]
+    )
+
+
+def _announce(span: int, buckets: int):
+    """Texts to hashes and places of their segments, by bucket.
+
+    A gram met twice in one flush is known to repeat: all its segments are
+    named at once (bucket below zero), and one notice without a document tells
+    its bucket.  So a gram shared by many documents sends one entry a flush.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
+        for h, doc, start, length in _scanned(batches, span):
+            by = np.argsort(h, kind="stable")
+            same = h[by][1:] == h[by][:-1]
+            twin = np.zeros(len(h), bool)
+            twin[by[1:]] |= same
+            twin[by[:-1]] |= same
+            first = np.zeros(len(h), bool)
+            first[by[np.r_[True, ~same]]] = True
+            sent = np.flatnonzero(~twin | first)
+            owner = np.where(twin, -1, doc)
+            bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+            out = []
+            for key, i in _by_bucket(bucket[sent]):
+                i = sent[i]
+                out.append((key, z.compress(_packed(h[i], owner[i], start[i], length[i]))))
+            known = np.flatnonzero(twin)
+            for key, i in _by_bucket(doc[known] % buckets):
+                i = known[i]
+                out.append((-1 - key, z.compress(_packed(h[i], doc[i], start[i], length[i]))))
+            yield _blobs(out)
+
+    return run
+
+
+def _packed(h, doc, start, length, text=b"") -> bytes:
+    """One column after the other; documents and starts as differences, which compress."""
+    d = np.diff(doc, prepend=np.int64(0))
+    return b"".join(
+        (np.array([len(h)], "<i8").tobytes(), h.astype("<u8").tobytes(), d.astype("<i8").tobytes(), start.astype("<i8").tobytes(), length.astype("<u4").tobytes(), text)
+    )
+
+
+def _unpacked(raw: bytes) -> tuple:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    h = np.frombuffer(raw, "<u8", n, 8)
+    doc = np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n))
+    start = np.frombuffer(raw, "<i8", n, 8 + 16 * n)
+    length = np.frombuffer(raw, "<u4", n, 8 + 24 * n).astype(np.int64)
+    return h, doc, start, length, np.frombuffer(raw, np.uint8, offset=8 + 28 * n)
+
+
+def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Announced segments whose gram occurs again; rows come sorted by bucket."""
+    z = zstandard.ZstdDecompressor()
+
+    def out(h, doc, start, length):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc), pa.array(h.view(np.int64)), pa.array(start), pa.array(length.astype(np.int32))],
+            names=["_id", "_gram", "_start", "_length"],
+        )
+
+    def settled(parts):
+        h, doc, start, length = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        by = np.argsort(h, kind="stable")
+        same = h[by][1:] == h[by][:-1]
+        twin = np.zeros(len(h), bool)
+        twin[by[1:]] |= same
+        twin[by[:-1]] |= same
+        named = twin & (doc >= 0)
+        return out(h[named], doc[named], start[named], length[named])
+
+    bucket, parts = None, []
+    for batch in batches:
+        for key, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = _unpacked(z.decompress(blob.as_buffer()))[:4]
+            if key < 0:
+                yield out(*found)
+                continue
+            if key != bucket:
+                if parts:
+                    yield settled(parts)
+                bucket, parts = key, []
+            parts.append(found)
+    if parts:
+        yield settled(parts)
+
+
 def _send(span: int, buckets: int):
-    """Texts to packed segments by bucket; copies within a batch are settled at once."""
-
-    def blobs(h, doc, first, last, origin, chunks):
-        buf, base = chunks
-        length = last - first + span
-        bucket = (h >> np.uint64(8)) % np.uint64(buckets)
-        # Equal segments in this batch: only the earliest travels.
-        by = np.lexsort((origin, doc, h))
-        twin = np.flatnonzero(np.r_[False, h[by][1:] == h[by][:-1]])
+    """Texts with their named segments to packed segments by bucket.
+
+    Equal segments within a flush are settled at once: only the earliest
+    travels, the others are covered whole (bucket below zero).
+    """
+
+    def flush(texts, marks, z):
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.cumsum([0, *map(len, texts[:-1])])
+        count = [len(m[1]) for m in marks]
+        doc = np.repeat(np.array([m[0] for m in marks], np.int64), count)
+        h, start, length = (np.concatenate([m[k] for m in marks]) for k in (1, 2, 3))
+        base = np.repeat(at, count) + start
+        by = np.lexsort((start, doc, h))
+        same = h[by][1:] == h[by][:-1]
+        again = by[np.r_[False, same] | np.r_[same, False]]
         gone = np.zeros(len(h), bool)
-        if len(twin):
-            seen: dict[tuple[int, bytes], int] = {}
-            for i in by[np.unique(np.r_[twin, twin - 1])].tolist():
-                key = (int(h[i]), buf[base[i] : base[i] + length[i]].tobytes())
-                if key in seen:
-                    gone[i] = True
-                else:
-                    seen[key] = i
-        # Verdicts already reached travel on, spread by document.
-        spread = doc[gone] % buckets
-        for k in np.unique(spread).tolist():
-            i = np.flatnonzero(gone)[spread == k]
-            yield (-1 - k, doc[i], origin[i], origin[i] + length[i])
-        order = np.flatnonzero(~gone)
-        order = order[np.argsort(bucket[order], kind="stable")]
-        cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else order
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            i = order[a:b]
-            yield (int(bucket[i[0]]), h[i], doc[i], origin[i], length[i], _gather(buf, base[i], length[i]))
-
-    def rows(found, z):
-        kinds = {"b": [], "x": []}
-        for f in found:
-            kinds["b"].append(f[0])
-            if f[0] < 0:
-                body = b"".join(x.astype("<i8").tobytes() for x in f[1:])
-            else:
-                _, h, doc, origin, length, text = f
-                head = np.array([len(h)], "<i8").tobytes()
-                body = head + h.astype("<u8").tobytes() + doc.astype("<i8").tobytes() + origin.astype("<i8").tobytes() + length.astype("<u4").tobytes() + text.tobytes()
-            kinds["x"].append(z.compress(body))
-        return pa.RecordBatch.from_arrays([pa.array(kinds["b"], pa.int64()), pa.array(kinds["x"], pa.binary())], names=["_bucket", "_blob"])
+        seen: set[tuple[int, bytes]] = set()
+        for i in again.tolist():
+            key = (int(h[i]), buf[base[i] : base[i] + length[i]].tobytes())
+            if key in seen:
+                gone[i] = True
+            seen.add(key)
+        out = []
+        dropped = np.flatnonzero(gone)
+        for key, i in _by_bucket(doc[dropped] % buckets):
+            i = dropped[i]
+            out.append((-1 - key, z.compress(_packed(h[i], doc[i], start[i], length[i]))))
+        kept = np.flatnonzero(~gone)
+        for key, i in _by_bucket(((h[kept] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)):
+            i = kept[i]
+            text = _gather(buf, base[i], length[i]).tobytes()
+            out.append((key, z.compress(_packed(h[i], doc[i], start[i], length[i], text))))
+        return _blobs(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        texts: list[bytes] = []
-        marks: list[tuple[int, int]] = []  # document, and where the part starts in it
-        held = 0
-        pieces: list = []
-        scanned = 0
-
-        def scan():
-            nonlocal texts, marks, held, scanned
-            if texts:
-                buf = np.frombuffer(b"".join(texts), np.uint8)
-                size = np.fromiter(map(len, texts), np.int64, len(texts))
-                ends = np.cumsum(size)
-                h, first, last = segments(buf, ends, span)
-                which = np.searchsorted(ends, first, side="right")
-                docs = np.array([m[0] for m in marks], np.int64)
-                shift = np.array([m[1] for m in marks], np.int64) - (ends - size)
-                pieces.append((buf, h, docs[which], first, last, first + shift[which]))
-                scanned += len(buf)
-            texts, marks, held = [], [], 0
-
-        def flush():
-            nonlocal pieces, scanned
-            scan()
-            if pieces:
-                offset = np.cumsum([0, *(len(p[0]) for p in pieces[:-1])])
-                buf = np.concatenate([p[0] for p in pieces])
-                cat = lambda k: np.concatenate([p[k] for p in pieces])
-                base = np.concatenate([p[3] + o for p, o in zip(pieces, offset, strict=True)])
-                found = blobs(cat(1), cat(2), cat(3), cat(4), cat(5), (buf, base))
-                yield rows(found, z)
-            pieces, scanned = [], 0
-
+        texts, marks, held = [], [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                body = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if len(body) < span or doc is None:
+            for doc, text, named in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if not named.is_valid:
                     continue
-                # A very long text is scanned in parts that overlap by one string less a byte.
-                for at in range(0, max(1, len(body) - span + 1), SCAN // 2):
-                    part = body[at : at + SCAN // 2 + span - 1]
-                    if held + len(part) > SCAN - 1:
-                        scan()
-                    texts.append(part)
-                    marks.append((doc, at))
-                    held += len(part)
-                    if scanned + held >= FLUSH:
-                        yield from flush()
-        yield from flush()
+                rows = named.values
+                h, start, length = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                texts.append(text.as_buffer().to_pybytes())
+                marks.append((doc, h.view(np.uint64), start, length.astype(np.int64)))
+                held += int(length.sum()) // 3 + 1
+                if held >= FLUSH:
+                    yield flush(texts, marks, z)
+                    texts, marks, held = [], [], 0
+        if texts:
+            yield flush(texts, marks, z)
 
     return run
 
@@ -359,23 +462,16 @@ def _judge(span: int):
         bucket, parts = None, []
         for batch in batches:
             for key, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = z.decompress(blob.as_buffer())
+                found = _unpacked(z.decompress(blob.as_buffer()))
                 if key < 0:
-                    known = np.frombuffer(raw, "<i8").reshape(3, -1)
-                    yield out(*known)
+                    yield out(found[1], found[2], found[2] + found[3])
                     continue
                 if key != bucket:
                     if parts:
-                        for found in judged(parts):
-                            yield out(*found)
+                        for runs in judged(parts):
+                            yield out(*runs)
                     bucket, parts = key, []
-                n = int(np.frombuffer(raw, "<i8", 1)[0])
-                at = 8
-                h = np.frombuffer(raw, "<u8", n, at)
-                doc = np.frombuffer(raw, "<i8", n, at + 8 * n)
-                origin = np.frombuffer(raw, "<i8", n, at + 16 * n)
-                length = np.frombuffer(raw, "<u4", n, at + 24 * n).astype(np.int64)
-                parts.append((h, doc, origin, length, np.frombuffer(raw, np.uint8, offset=at + 28 * n)))
+                parts.append(found)
         if parts:
             for found in judged(parts):
                 yield out(*found)
@@ -415,15 +511,26 @@ def _apply():
     return run
 
 
-def removed_runs(docs: DataFrame, id_col: str, text_col: str, span: int, bucket_bytes: int) -> DataFrame:
-    """``(_id, _from, _to)``: byte ranges, possibly overlapping, that are covered by later copies."""
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+def removed_runs(texts: DataFrame, span: int, bucket_bytes: int) -> DataFrame:
+    """``(_id, _from, _to)``: byte ranges, possibly overlapping, that are covered by later copies.
+
+    ``texts`` is ``(_id, _text)``.
+    """
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = max(1, -(-4 * total // bucket_bytes))
-    parts = max(1, -(-buckets // 2))
+    # A segment takes 28 bytes a 35 bytes of text in the first exchange and four bytes a byte in the second.
+    first, second = max(1, -(-total // bucket_bytes)), max(1, -(-4 * total // bucket_bytes))
+    named = (
+        texts.mapInArrow(_announce(span, first), "_bucket long, _blob binary")
+        .repartition(max(1, -(-first // 2)), "_bucket")
+        .sortWithinPartitions("_bucket")
+        .mapInArrow(_repeating, "_id long, _gram long, _start long, _length int")
+        .groupBy("_id")
+        .agg(F.collect_list(F.struct("_gram", "_start", "_length")).alias("_named"))
+    )
     return (
-        texts.mapInArrow(_send(span, buckets), "_bucket long, _blob binary")
-        .repartition(parts, "_bucket")
+        texts.join(named.hint("shuffle_hash"), "_id", "left")
+        .mapInArrow(_send(span, second), "_bucket long, _blob binary")
+        .repartition(max(1, -(-second // 2)), "_bucket")
         .sortWithinPartitions("_bucket")
         .mapInArrow(_judge(span), "_id long, _from long, _to long")
     )
@@ -449,17 +556,19 @@ def suffix_dedup(
     table gives an empty result; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     runs = (
-        removed_runs(docs, id_col, text_col, span, bucket_bytes)
+        removed_runs(texts, span, bucket_bytes)
         .groupBy("_id")
         .agg(F.collect_set(F.struct("_from", "_to")).alias("_runs"))
     )
     return (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-        .join(runs.hint("shuffle_hash"), "_id", "left")
+        # The same exchange of texts serves both joins.
+        texts.join(runs.hint("shuffle_hash"), "_id", "left")
         .mapInArrow(
             _apply(),
-            f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>",
+            f"_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>",
         )
+        .withColumn("_id", F.col("_id").cast(kind))
         .withColumnRenamed("_id", id_col)
     )
