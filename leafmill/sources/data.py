@@ -363,7 +363,9 @@ def _pandoc_table(c, go) -> Node:
     table = Node("table")
 
     def row(cells, kind):
-        table.add(Node("table_row").add(*[Node(kind).add(*go(cell[4])) for cell in cells]))
+        # A cell of one plain block holds its inlines directly.
+        bare = lambda b: b[0]["c"] if len(b) == 1 and b[0].get("t") == "Plain" else b
+        table.add(Node("table_row").add(*[Node(kind).add(*go(bare(cell[4]))) for cell in cells]))
 
     for r in c[3][1]:
         row(r[1], "table_header")
