@@ -235,3 +235,163 @@ def simhash_dedup(
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+# -- near copies by similarity ----------------------------------------------------
+
+
+def simhash_of_set(text: str | None, shingle: int = 2, seed: int = 42) -> int:
+    """Fingerprint of the distinct ``shingle``-word runs of a text; one changed word moves it little."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0
+    k = min(shingle, len(words))
+    runs = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}
+    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    h = np.fromiter((digest(r, seed) for r in runs), np.uint64, len(runs))
+    for at in range(0, len(h), 65_536):
+        counts += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def _two_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        found = [np.fromiter(map(f, texts), np.uint64, len(texts)).view(np.int64) for f in (simhash_of_set, simhash)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found)], names=["_id", "_fp", "_check"])
+
+
+def _similar(radius: int, wide: int):
+    """Pairs of a bucket that agree on both fingerprints; large buckets give a spanning forest of them."""
+
+    def near(fp, check, i, j):
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(check[i] ^ check[j]) <= wide)
+
+    def links(k, fp, check, node):
+        start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        size = np.diff(np.r_[start, len(k)])
+        out = [np.zeros((2, 0), np.int64)]
+        for s in np.unique(size[size > 1]).tolist():
+            at = start[size == s]
+            if s <= 64:
+                i, j = np.triu_indices(s, 1)
+                step = max(1, 2_000_000 // len(i))
+                for a in range(0, len(at), step):
+                    x, y = ((at[a : a + step, None] + v[None, :]).ravel() for v in (i, j))
+                    hit = near(fp, check, x, y)
+                    out.append(np.stack([node[x[hit]], node[y[hit]]]))
+                continue
+            for a in at.tolist():
+                label = np.arange(s)
+                moved = True
+                while moved:
+                    moved = False
+                    for b in range(0, s, 512):
+                        rows = np.arange(b, min(b + 512, s))
+                        good = near(fp, check, a + rows[:, None], a + np.arange(s)[None, :])
+                        low = np.where(good, label[None, :], s).min(axis=1)
+                        change = low < label[rows]
+                        if change.any():
+                            moved = True
+                            # Link each row to the member that gave it the lower label.
+                            pick = np.where(good, label[None, :], s).argmin(axis=1)[change]
+                            out.append(np.stack([node[a + rows[change]], node[a + pick]]))
+                            label[rows[change]] = low[change]
+        return np.concatenate(out, axis=1)
+
+    def out(parts):
+        found = links(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*found)), pa.array(np.maximum(*found))], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy() for c in b.columns]
+            cols[1:3] = [c.view(np.uint64) for c in cols[1:3]]
+            k = cols[0]
+            last = int(np.searchsorted(k, k[-1]))
+            if last or (parts and parts[-1][0][-1] != k[0]):
+                yield out([*parts, tuple(c[:last] for c in cols)])
+                parts = [tuple(c[last:] for c in cols)]
+            else:
+                parts.append(tuple(cols))
+        if parts:
+            yield out(parts)
+
+    return run
+
+
+def _jaccard_at_least(least: float, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def runs(text):
+            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+            return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                p, q = runs(x.as_py()), runs(y.as_py())
+                keep.append(not (p | q) or len(p & q) >= least * len(p | q))
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    radius: int = 5,
+    wide: int = 13,
+    least: float = 0.8,
+    shingle: int = 5,
+) -> DataFrame:
+    """``(node, component)`` for documents that have near copies of similarity ``least`` or more.
+
+    Candidates come from ball hashing, on halves, of the fingerprint of
+    distinct word pairs, which one changed word moves by little; they must
+    also agree to ``wide`` bits on the 4-word fingerprint, which holds chance
+    pairs off.  Candidate pairs are then verified by the exact Jaccard
+    similarity of their ``shingle``-word runs and joined into components,
+    named by the smallest id.
+
+    Defined cases: rows with a null id take no part; null and wordless texts
+    are equal to each other; repeated ids are one document.
+    """
+    rows = settle(
+        docs.where(F.col(id_col).isNotNull())
+        .select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+        .mapInArrow(_two_fingerprints, "_id long, _fp long, _check long"),
+        "near",
+    )
+    reps = settle(rows.groupBy("_fp", "_check").agg(F.min("_id").alias("_rep")), "near-distinct")
+    keys = [
+        h.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(side << 32))
+        for h, side in ((F.col("_fp").bitwiseAND(F.lit(0xFFFFFFFF)), 0), (F.shiftrightunsigned("_fp", 32), 1))
+        for m in (0, *(1 << i for i in range(32)))
+    ]
+    across = (
+        reps.select(F.explode(F.array(*keys)).alias("_key"), "_fp", "_check", "_rep")
+        .repartition(F.col("_key"))
+        .sortWithinPartitions("_key")
+        .mapInArrow(_similar(radius, wide), "src long, dst long")
+    )
+    within = rows.join(reps, ["_fp", "_check"]).where("_id <> _rep").select(F.col("_rep").alias("src"), F.col("_id").alias("dst"))
+    pairs = settle(across.unionByName(within).where("src <> dst").distinct(), "near-pairs")
+    wanted = pairs.select(F.col("src").alias("_id")).union(pairs.select("dst")).distinct()
+    texts = settle(
+        docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+        .join(wanted, "_id", "left_semi")
+        .dropDuplicates(["_id"]),
+        "near-texts",
+    )
+    a = texts.select(F.col("_id").alias("src"), F.col("_text").alias("_a"))
+    b = texts.select(F.col("_id").alias("dst"), F.col("_text").alias("_b"))
+    verified = (
+        pairs.join(a, "src").join(b, "dst").select("src", "dst", "_a", "_b").mapInArrow(_jaccard_at_least(least, shingle), "src long, dst long")
+    )
+    return connected_components(verified, "near-cc")
