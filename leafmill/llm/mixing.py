@@ -164,7 +164,7 @@ def mix(
         ],
         "_pattern string, source_size long, target double, _base long, _rest long",
     )
-    chosen = _select(rows.select("_id", "size", "_u", "_pattern").join(plan, "_pattern"), buckets)
+    chosen = _select(rows.select("_id", "size", "_u", "_pattern").join(F.broadcast(plan), "_pattern"), buckets)
     return chosen.select(
         F.col("_id").alias(id_col),
         "size",
@@ -210,7 +210,8 @@ def _select(rows: DataFrame, buckets: int) -> DataFrame:
         & ((F.col("_u") < F.col("_lu")) | (F.col("_u") == F.col("_lu")) & (F.coalesce("_id", F.lit(-(1 << 63))) <= F.coalesce("_lid", F.lit(-(1 << 63))))),
         F.lit(False),
     )
-    marked = sided.join(limits, "_pattern", "left").withColumn("_in", (F.col("_side") == 1) | inside)
+    # One row per membership pattern each: the driver held as many to route the flow.
+    marked = sided.join(F.broadcast(limits), "_pattern", "left").withColumn("_in", (F.col("_side") == 1) | inside)
     gap = F.col("_rest") - F.col("_got")
     extra = (
         marked.where(~F.col("_in") & (gap > 0) & (F.col("size") > 0) & (F.abs(gap - F.col("size")) < gap))
@@ -218,7 +219,7 @@ def _select(rows: DataFrame, buckets: int) -> DataFrame:
         .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("d"), "_u", "_id")).alias("_x"))
         .select("_pattern", F.col("_x._u").alias("_xu"), F.col("_x._id").alias("_xid"))
     )
-    return marked.join(extra, "_pattern", "left").withColumn(
+    return marked.join(F.broadcast(extra), "_pattern", "left").withColumn(
         "repeats",
         F.col("_base")
         + (F.col("_in") | F.coalesce((F.col("_u") == F.col("_xu")) & F.col("_id").eqNullSafe(F.col("_xid")), F.lit(False))).cast("long"),
