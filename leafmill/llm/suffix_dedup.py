@@ -256,8 +256,10 @@ def _scanned(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple]:
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket with the places of its elements, in order."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else order
+    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 

@@ -134,6 +134,30 @@ def test_suffix_dedup(spark):
     assert got[None].n_removed == 0
 
 
+def test_nothing_falls_into_no_bucket():
+    from leafmill.llm.suffix_dedup import _by_bucket
+
+    assert list(_by_bucket(np.zeros(0, np.int64))) == []
+    assert [(k, i.tolist()) for k, i in _by_bucket(np.array([3, 1, 3]))] == [(1, [1]), (3, [0, 2])]
+
+
+def test_near_copies_are_verified(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=5))
+    base, rows = [[word() for _ in range(150)] for _ in range(20)], []
+    for k, b in enumerate(base):
+        rows.append((k, " ".join(b)))
+        few = list(b)
+        few[10] = "changed"
+        rows.append((100 + k, " ".join(few)))
+    rows += [(300, None), (301, ""), (None, rows[0][1])]
+    got = {r.node: r.component for r in sh.near_copies(_docs(spark, rows)).collect()}
+    assert all(got.get(100 + k) == k for k in range(20) if 100 + k in got)
+    assert sum(100 + k in got for k in range(20)) >= 19
+    assert got[301] == 300 and set(got) <= {*range(20), *range(100, 120), 300, 301}
+    assert sh.near_copies(_docs(spark, [])).count() == 0
+
+
 def test_tuned_bands_reach_the_recall():
     bands, rows = tune_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
