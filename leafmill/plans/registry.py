@@ -99,6 +99,20 @@ def page_to_markdown(spark, d):
     return D.emit(_pages(spark, d), "markdown")
 
 
+@query()
+def page_chunks_census(spark, d):
+    from ..streaming import parse_chunks, split_chunks
+
+    return C.kind_census(parse_chunks(split_chunks(_t(spark, d, "pages"), "page_id", "html", 1024), "html"))
+
+
+@query("SELECT page_id AS doc_id, (CASE WHEN strlen(html) = 0 THEN 1 ELSE ceil(strlen(html) / 1024.0) END)::BIGINT AS chunks, strlen(html)::BIGINT AS bytes FROM pages")
+def page_chunks(spark, d):
+    from ..streaming import split_chunks
+
+    return split_chunks(_t(spark, d, "pages"), "page_id", "html", 1024).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("bytes")).alias("bytes"))
+
+
 @query()
 def page_strip_and_merge(spark, d):
     clean = T.pipeline(T.strip_empty, T.merge_text, T.unwrap_single_child)(_pages(spark, d))
