@@ -179,3 +179,20 @@ def compare_trees(a: DataFrame, b: DataFrame) -> DataFrame:
         )
         .where("difference IS NOT NULL")
     )
+
+
+def uncommon(values: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """Distinct values of ``column`` that ``known`` does not have, whatever their case."""
+    folded = known.select(F.lower(column).alias("_k")).distinct()
+    return values.select(column).distinct().join(folded, F.lower(F.col(column)) == F.col("_k"), "left_anti")
+
+
+def validation_stats(issues: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(valid, warnings_only, errors)`` documents; ``issues`` has a ``severity`` of warning or error."""
+    worst = issues.groupBy(id_col).agg(F.bool_or(F.col("severity") == "error").alias("_bad"))
+    joined = documents.select(id_col).distinct().join(worst, id_col, "left")
+    return joined.agg(
+        F.count_if(F.col("_bad").isNull()).alias("valid"),
+        F.count_if(~F.col("_bad")).alias("warnings_only"),
+        F.count_if("_bad").alias("errors"),
+    )
