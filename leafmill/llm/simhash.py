@@ -275,7 +275,7 @@ def _similar(radius: int, wide: int):
         out = [np.zeros((2, 0), np.int64)]
         for s in np.unique(size[size > 1]).tolist():
             at = start[size == s]
-            if s <= 64:
+            if s <= 8:
                 i, j = np.triu_indices(s, 1)
                 step = max(1, 2_000_000 // len(i))
                 for a in range(0, len(at), step):
@@ -284,21 +284,24 @@ def _similar(radius: int, wide: int):
                     out.append(np.stack([node[x[hit]], node[y[hit]]]))
                 continue
             for a in at.tolist():
-                label = np.arange(s)
+                label, parent = np.arange(s), np.arange(s)
                 moved = True
                 while moved:
                     moved = False
                     for b in range(0, s, 512):
                         rows = np.arange(b, min(b + 512, s))
                         good = near(fp, check, a + rows[:, None], a + np.arange(s)[None, :])
-                        low = np.where(good, label[None, :], s).min(axis=1)
+                        seen = np.where(good, label[None, :], s)
+                        pick = seen.argmin(axis=1)
+                        low = seen[np.arange(len(rows)), pick]
                         change = low < label[rows]
                         if change.any():
                             moved = True
-                            # Link each row to the member that gave it the lower label.
-                            pick = np.where(good, label[None, :], s).argmin(axis=1)[change]
-                            out.append(np.stack([node[a + rows[change]], node[a + pick]]))
                             label[rows[change]] = low[change]
+                            parent[rows[change]] = pick[change]
+                # The member that gave a row its last label had it before, so these links are a forest.
+                own = np.flatnonzero(parent != np.arange(s))
+                out.append(np.stack([node[a + own], node[a + parent[own]]]))
         return np.concatenate(out, axis=1)
 
     def out(parts):
