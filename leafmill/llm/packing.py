@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +24,24 @@ from ._shared import settle
 PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
 #: The split of the tokenizer file (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Pieces remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+#: Chunks, and pieces, that a worker remembers before it starts anew.
+REMEMBERED = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, remembering pieces.
+    """Little-endian ids of texts by a tokenizer file, remembering what it has met.
 
     The tokenizer lower-cases, drops white space and then treats every piece
-    of its split on its own, so ids of a piece can be kept.  Only texts whose
-    characters leave no doubt about normalisation are split here.
+    of its split on its own, and no piece crosses white space; so the ids of a
+    chunk between white space can be kept, and those of its pieces.  Only
+    texts whose characters leave no doubt about normalisation are split here.
     """
 
     def __init__(self, path: str | None = None):
@@ -43,31 +50,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.model = self.tokenizer.model
         self.split = regex.compile(PIECES).findall if path is None else None
         self.plain = regex.compile(PLAIN).fullmatch
+        self.letters = _byte_letters()
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
-                self.known.clear()
-                fresh = list(dict.fromkeys(pieces))
-            done = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            self.known.update((p, tuple(e.ids)) for p, e in zip(fresh, done, strict=True))
-
-    def __call__(self, text: str | None) -> np.ndarray:
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.model.tokenize(spelled)], self.wide).tobytes()
+            self.pieces[piece] = found
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        if len(self.chunks) >= REMEMBERED:
+            self.chunks.clear()
+        for c in chunks:
+            if c not in self.chunks:
+                self.chunks[c] = b"".join(map(self._piece, self.split(c)))
+
+    def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if self.split is None or "<|" in text or not self.plain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide)
-        pieces = self.split(text.lower())
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
+        chunks = text.lower().split()
         try:
-            found = list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+            return b"".join(map(self.chunks.__getitem__, chunks))
         except KeyError:
-            self._learn(pieces)
-            found = list(chain.from_iterable(map(self.known.__getitem__, pieces)))
-        return np.array(found, self.wide)
+            self._learn(chunks)
+            return b"".join(map(self.chunks.__getitem__, chunks))
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -90,14 +107,15 @@ def _tokenize(path: str | None, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                ids = [np.append(encode(t.as_py()), encode.wide.type(end_id)) for t in b.column(1)]
-                n = np.fromiter(map(len, ids), np.int64, len(ids))
+                end = encode.wide.type(end_id).tobytes()
+                ids = [encode(t.as_py()) + end for t in b.column(1)]
+                n = np.fromiter(map(len, ids), np.int64, len(ids)) // encode.wide.itemsize
                 begins = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0),
-                        pa.array([x.tobytes() for x in ids], pa.binary()),
+                        pa.array(ids, pa.binary()),
                         pa.array(n),
                         pa.array(np.full(len(ids), part, np.int32)),
                         pa.array(begins),
