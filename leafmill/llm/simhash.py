@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, settle
+from .paragraph_dedup import _verify
 
 BITS = 64
 #: Largest bucket compared as a matrix.
@@ -256,23 +257,30 @@ def simhash_of_set(text: str | None, shingle: int = 2, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def _two_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     for b in batches:
         texts = b.column(1).to_pylist()
         found = [np.fromiter(map(f, texts), np.uint64, len(texts)).view(np.int64) for f in (simhash_of_set, simhash)]
-        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found)], names=["_id", "_fp", "_check"])
+        digests = pa.array([xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found), digests], names=["_id", "_fp", "_check", "_digest"])
 
 
-def _similar(radius: int, wide: int):
-    """Pairs of a bucket that agree on both fingerprints; large buckets give a spanning forest of them."""
+def _candidates(radius: int, wide: int):
+    """Members of each bucket that agree on both fingerprints with another member; rows come sorted by key."""
 
     def near(fp, check, i, j):
         return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(check[i] ^ check[j]) <= wide)
 
-    def links(k, fp, check, node):
+    def met(k, fp, check, node):
         start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[start, len(k)])
-        out = [np.zeros((2, 0), np.int64)]
+        hit = np.zeros(len(k), bool)
         for s in np.unique(size[size > 1]).tolist():
             at = start[size == s]
             if s <= 8:
@@ -280,33 +288,20 @@ def _similar(radius: int, wide: int):
                 step = max(1, 2_000_000 // len(i))
                 for a in range(0, len(at), step):
                     x, y = ((at[a : a + step, None] + v[None, :]).ravel() for v in (i, j))
-                    hit = near(fp, check, x, y)
-                    out.append(np.stack([node[x[hit]], node[y[hit]]]))
+                    good = near(fp, check, x, y)
+                    hit[x[good]] = hit[y[good]] = True
                 continue
             for a in at.tolist():
-                label, parent = np.arange(s), np.arange(s)
-                moved = True
-                while moved:
-                    moved = False
-                    for b in range(0, s, 512):
-                        rows = np.arange(b, min(b + 512, s))
-                        good = near(fp, check, a + rows[:, None], a + np.arange(s)[None, :])
-                        seen = np.where(good, label[None, :], s)
-                        pick = seen.argmin(axis=1)
-                        low = seen[np.arange(len(rows)), pick]
-                        change = low < label[rows]
-                        if change.any():
-                            moved = True
-                            label[rows[change]] = low[change]
-                            parent[rows[change]] = pick[change]
-                # The member that gave a row its last label had it before, so these links are a forest.
-                own = np.flatnonzero(parent != np.arange(s))
-                out.append(np.stack([node[a + own], node[a + parent[own]]]))
-        return np.concatenate(out, axis=1)
+                for b in range(0, s, 512):
+                    rows = np.arange(b, min(b + 512, s))
+                    good = near(fp, check, a + rows[:, None], a + np.arange(s)[None, :])
+                    # Each member agrees with itself.
+                    hit[a + rows] = good.sum(axis=1) > 1
+        return k[hit], node[hit]
 
     def out(parts):
-        found = links(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*found)), pa.array(np.maximum(*found))], names=["src", "dst"])
+        found = met(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["_key", "_pid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
@@ -328,20 +323,52 @@ def _similar(radius: int, wide: int):
     return run
 
 
-def _jaccard_at_least(least: float, shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs(text):
-            w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-            return {b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the texts that have the wanted digest; a repeated id may have others."""
+    import xxhash
 
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = runs(x.as_py()), runs(y.as_py())
-                keep.append(not (p | q) or len(p & q) >= least * len(p | q))
-            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+    for b in batches:
+        found = [b" ".join(_words(t)) for t in b.column(2).to_pylist()]
+        keep = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(found, b.column(1).to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["_pid", "_text"]).filter(keep)
 
-    return run
+
+def _verified(docs: DataFrame, reps: DataFrame, met: DataFrame, least: float, shingle: int) -> DataFrame:
+    """``(src, dst)``: links of Jaccard similarity ``least`` or more that span each bucket of ``met`` (``_key``, ``_pid``).
+
+    Thinning comes after the exact check: of a bucket only pairs that verified
+    links have joined already are left out.  ``docs`` has ``_id`` and ``_text``.
+    """
+    # Buckets with the same members say the same; one of them is enough.
+    full = (
+        met.groupBy("_key")
+        .agg(
+            F.count("*").alias("_n"),
+            F.sum(F.xxhash64("_pid").cast("decimal(20,0)")).alias("_s"),
+            F.min("_pid").alias("_least"),
+        )
+        .where("_n > 1")
+        .groupBy("_n", "_s", "_least")
+        .agg(F.min("_key").alias("_key"))
+        .select("_key")
+    )
+    members = settle(met.join(full, "_key", "left_semi"), "near-members")
+    needed = reps.join(members.select("_pid").distinct(), "_pid", "left_semi").select("_pid", "_digest", F.col("_rep").alias("_id"))
+    bodies = settle(
+        docs.join(needed, "_id")
+        .select("_pid", "_digest", "_text")
+        .mapInArrow(_bodies, "_pid long, _text binary")
+        .dropDuplicates(["_pid"]),
+        "near-texts",
+    )
+    return (
+        members.join(bodies, "_pid")
+        .select("_key", "_pid", "_text")
+        .repartition(F.col("_key"))
+        .sortWithinPartitions("_key", "_pid")
+        .mapInArrow(_verify(least, shingle), "src long, dst long")
+        .distinct()
+    )
 
 
 def near_copies(
@@ -358,43 +385,37 @@ def near_copies(
     Candidates come from ball hashing, on halves, of the fingerprint of
     distinct word pairs, which one changed word moves by little; they must
     also agree to ``wide`` bits on the 4-word fingerprint, which holds chance
-    pairs off.  Candidate pairs are then verified by the exact Jaccard
-    similarity of their ``shingle``-word runs and joined into components,
-    named by the smallest id.
+    pairs off.  Members of a bucket are then verified by the exact Jaccard
+    similarity of their ``shingle``-word runs, and verified links are joined
+    into components, named by the smallest id.
 
-    Defined cases: rows with a null id take no part; null and wordless texts
-    are equal to each other; repeated ids are one document.
+    Defined cases: rows with a null id take no part; texts of equal words are
+    one text, null and wordless ones too; an id with several texts is judged
+    for each of them and may have several rows.
     """
-    rows = settle(
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .mapInArrow(_two_fingerprints, "_id long, _fp long, _check long"),
-        "near",
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    rows = settle(texts.mapInArrow(_two_fingerprints, "_id long, _fp long, _check long, _digest binary"), "near")
+    reps = settle(
+        rows.groupBy("_digest", "_fp", "_check").agg(F.min("_id").alias("_rep")).withColumn("_pid", F.monotonically_increasing_id()),
+        "near-distinct",
     )
-    reps = settle(rows.groupBy("_fp", "_check").agg(F.min("_id").alias("_rep")), "near-distinct")
     keys = [
         h.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(side << 32))
         for h, side in ((F.col("_fp").bitwiseAND(F.lit(0xFFFFFFFF)), 0), (F.shiftrightunsigned("_fp", 32), 1))
         for m in (0, *(1 << i for i in range(32)))
     ]
-    across = (
-        reps.select(F.explode(F.array(*keys)).alias("_key"), "_fp", "_check", "_rep")
+    met = settle(
+        reps.select(F.explode(F.array(*keys)).alias("_key"), "_fp", "_check", "_pid")
         .repartition(F.col("_key"))
         .sortWithinPartitions("_key")
-        .mapInArrow(_similar(radius, wide), "src long, dst long")
-    )
-    within = rows.join(reps, ["_fp", "_check"]).where("_id <> _rep").select(F.col("_rep").alias("src"), F.col("_id").alias("dst"))
-    pairs = settle(across.unionByName(within).where("src <> dst").distinct(), "near-pairs")
-    wanted = pairs.select(F.col("src").alias("_id")).union(pairs.select("dst")).distinct()
-    texts = settle(
-        docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .join(wanted, "_id", "left_semi")
-        .dropDuplicates(["_id"]),
-        "near-texts",
+        .mapInArrow(_candidates(radius, wide), "_key long, _pid long"),
+        "near-met",
     )
-    a = texts.select(F.col("_id").alias("src"), F.col("_text").alias("_a"))
-    b = texts.select(F.col("_id").alias("dst"), F.col("_text").alias("_b"))
-    verified = (
-        pairs.join(a, "src").join(b, "dst").select("src", "dst", "_a", "_b").mapInArrow(_jaccard_at_least(least, shingle), "src long, dst long")
+    comp = connected_components(_verified(texts, reps, met, least, shingle), "near-cc")
+    named = reps.join(comp, reps["_pid"] == comp["node"], "left").select("_digest", F.coalesce("component", "_pid").alias("_group"))
+    found = settle(rows.select("_id", "_digest").join(named, "_digest").select("_id", "_group"), "near-groups")
+    first = settle(
+        found.groupBy("_group").agg(F.min("_id").alias("component"), F.max("_id").alias("_last")).where("component <> _last").drop("_last"),
+        "near-first",
     )
-    return connected_components(verified, "near-cc")
+    return found.join(first, "_group").select(F.col("_id").alias("node"), "component").distinct()

@@ -158,6 +158,42 @@ def test_near_copies_are_verified(spark):
     assert sh.near_copies(_docs(spark, [])).count() == 0
 
 
+def _near_by_brute_force(rows):
+    runs = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    return _components(sorted(runs), [(a, b) for a in runs for b in runs if a < b and len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])])
+
+
+def _group_of_near_copies(rng, n, words, least, most):
+    base = ["".join(rng.choices("abcdefghijklm", k=5)) for _ in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randint(least, most)):
+            w[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_near_copies_keep_links_that_verify(spark):
+    """In a large group of near copies no similar candidate pair is lost to a bit-close pair that is not similar."""
+    import pyarrow as pa
+
+    from leafmill.llm.paragraph_dedup import _verify
+
+    rows = _group_of_near_copies(random.Random(4), 301, 400, 2, 8)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(rows)), pa.array([i for i, _ in rows]), pa.array([t.encode() for _, t in rows])], names=["_key", "_pid", "_text"])
+    found = [(a, b) for out in _verify(0.8, 5)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
+    assert _components(sorted(sets), found) == _near_by_brute_force(rows)
+    # The stage: every candidate pair that is similar ends in one component, whatever else its bucket holds.
+    fp = {i: (sh.simhash_of_set(t), sh.simhash(t)) for i, t in rows}
+    close = [(a, b) for a in fp for b in fp if a < b and (fp[a][0] ^ fp[b][0]).bit_count() <= 5 and (fp[a][1] ^ fp[b][1]).bit_count() <= 13]
+    close = [(a, b) for a, b in close if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.node: r.component for r in sh.near_copies(_docs(spark, rows)).collect()}
+    assert all(got[a] == got[b] for a, b in close)
+
+
 def test_tuned_bands_reach_the_recall():
     bands, rows = tune_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
