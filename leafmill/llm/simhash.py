@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import connected_components, settle
-from .paragraph_dedup import _verify
+from .paragraph_dedup import _verify, band_keys, shingle_hashes, tune_bands
 
 BITS = 64
 #: Largest bucket compared as a matrix.
@@ -261,23 +261,36 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _two_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _two_fingerprints(least: float, shingle: int):
+    keys = band_keys(*tune_bands(least, rows=3), seed=12)
 
-    for b in batches:
-        texts = b.column(1).to_pylist()
-        found = [np.fromiter(map(f, texts), np.uint64, len(texts)).view(np.int64) for f in (simhash_of_set, simhash)]
-        digests = pa.array([xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, found), digests], names=["_id", "_fp", "_check", "_digest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            # Few texts at a time, as all their hashes are held.
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                texts = b.column(1).to_pylist()
+                found = [np.fromiter(map(f, texts), np.uint64, len(texts)).view(np.int64) for f in (simhash_of_set, simhash)]
+                words = [_words(t) for t in texts]
+                digests = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())
+                # No words count as one empty word, which no text has.
+                bands = keys([shingle_hashes(w or [b""], shingle) for w in words])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *map(pa.array, found), digests, bands], names=["_id", "_fp", "_check", "_digest", "_bands"]
+                )
+
+    return run
 
 
 def _candidates(radius: int, wide: int):
-    """Members of each bucket that agree on both fingerprints with another member; rows come sorted by key."""
+    """Members of each bucket that agree on both fingerprints with one of another component; rows come sorted by key."""
 
-    def near(fp, check, i, j):
-        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(check[i] ^ check[j]) <= wide)
+    def near(fp, check, comp, i, j):
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= radius) & (np.bitwise_count(check[i] ^ check[j]) <= wide) & (comp[i] != comp[j])
 
-    def met(k, fp, check, node):
+    def met(k, fp, check, comp, node):
         start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         size = np.diff(np.r_[start, len(k)])
         hit = np.zeros(len(k), bool)
@@ -288,15 +301,14 @@ def _candidates(radius: int, wide: int):
                 step = max(1, 2_000_000 // len(i))
                 for a in range(0, len(at), step):
                     x, y = ((at[a : a + step, None] + v[None, :]).ravel() for v in (i, j))
-                    good = near(fp, check, x, y)
+                    good = near(fp, check, comp, x, y)
                     hit[x[good]] = hit[y[good]] = True
                 continue
             for a in at.tolist():
                 for b in range(0, s, 512):
                     rows = np.arange(b, min(b + 512, s))
-                    good = near(fp, check, a + rows[:, None], a + np.arange(s)[None, :])
-                    # Each member agrees with itself.
-                    hit[a + rows] = good.sum(axis=1) > 1
+                    good = near(fp, check, comp, a + rows[:, None], a + np.arange(s)[None, :])
+                    hit[a + rows] = good.any(axis=1)
         return k[hit], node[hit]
 
     def out(parts):
@@ -382,36 +394,45 @@ def near_copies(
 ) -> DataFrame:
     """``(node, component)`` for documents that have near copies of similarity ``least`` or more.
 
-    Candidates come from ball hashing, on halves, of the fingerprint of
-    distinct word pairs, which one changed word moves by little; they must
-    also agree to ``wide`` bits on the 4-word fingerprint, which holds chance
-    pairs off.  Members of a bucket are then verified by the exact Jaccard
-    similarity of their ``shingle``-word runs, and verified links are joined
-    into components, named by the smallest id.
+    Candidates come from two sources.  Ten three-row MinHash bands over the
+    ``shingle``-word runs find a pair at ``least`` with probability 0.999 or
+    more, whatever the length of the texts.  Ball hashing, on halves, of the
+    fingerprint of distinct word pairs, which one changed word moves by
+    little, adds pairs within ``radius`` that agree to ``wide`` bits on the
+    4-word fingerprint; of these only pairs that the bands have not joined are
+    looked at.  Members of a bucket are verified by exact Jaccard similarity,
+    and verified links are joined into components, named by the smallest id.
 
     Defined cases: rows with a null id take no part; texts of equal words are
     one text, null and wordless ones too; an id with several texts is judged
     for each of them and may have several rows.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = settle(texts.mapInArrow(_two_fingerprints, "_id long, _fp long, _check long, _digest binary"), "near")
+    rows = settle(
+        texts.mapInArrow(_two_fingerprints(least, shingle), "_id long, _fp long, _check long, _digest binary, _bands array<long>"),
+        "near",
+    )
     reps = settle(
-        rows.groupBy("_digest", "_fp", "_check").agg(F.min("_id").alias("_rep")).withColumn("_pid", F.monotonically_increasing_id()),
+        rows.groupBy("_digest", "_fp", "_check", "_bands").agg(F.min("_id").alias("_rep")).withColumn("_pid", F.monotonically_increasing_id()),
         "near-distinct",
     )
+    banded = settle(reps.select(F.explode("_bands").alias("_key"), "_pid"), "near-bands")
+    joined = settle(_verified(texts, reps, banded, least, shingle), "near-links")
+    groups = connected_components(joined, "near-cc").withColumnRenamed("node", "_pid")
+    labelled = reps.join(groups, "_pid", "left").select("_pid", "_fp", "_check", F.coalesce("component", "_pid").alias("_comp"))
     keys = [
         h.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(side << 32))
         for h, side in ((F.col("_fp").bitwiseAND(F.lit(0xFFFFFFFF)), 0), (F.shiftrightunsigned("_fp", 32), 1))
         for m in (0, *(1 << i for i in range(32)))
     ]
     met = settle(
-        reps.select(F.explode(F.array(*keys)).alias("_key"), "_fp", "_check", "_pid")
+        labelled.select(F.explode(F.array(*keys)).alias("_key"), "_fp", "_check", "_comp", "_pid")
         .repartition(F.col("_key"))
         .sortWithinPartitions("_key")
         .mapInArrow(_candidates(radius, wide), "_key long, _pid long"),
         "near-met",
     )
-    comp = connected_components(_verified(texts, reps, met, least, shingle), "near-cc")
+    comp = connected_components(joined.unionByName(_verified(texts, reps, met, least, shingle)), "near-cc")
     named = reps.join(comp, reps["_pid"] == comp["node"], "left").select("_digest", F.coalesce("component", "_pid").alias("_group"))
     found = settle(rows.select("_id", "_digest").join(named, "_digest").select("_id", "_group"), "near-groups")
     first = settle(

@@ -194,6 +194,18 @@ def test_near_copies_keep_links_that_verify(spark):
     assert all(got[a] == got[b] for a, b in close)
 
 
+def test_near_copies_find_whole_groups(spark):
+    """150 words with two or three changed: one component by brute force, whatever the fingerprints say."""
+    rng = random.Random(5)
+    rows = _group_of_near_copies(rng, 201, 150, 2, 3)
+    for k in range(20):
+        # Copies near the limit, whose fingerprints often lie far apart.
+        rows += [(1000 + 100 * k + i, t) for i, t in _group_of_near_copies(rng, 3, 200, 2, 4)]
+    got = {r.node: r.component for r in sh.near_copies(_docs(spark, rows)).collect()}
+    wanted = _near_by_brute_force(rows)
+    assert {i: got.get(i, i) for i in wanted} == wanted
+
+
 def test_tuned_bands_reach_the_recall():
     bands, rows = tune_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
