@@ -109,6 +109,7 @@ def mix(
     passes: int = 3,
     seed: int = 42,
     buckets: int = 4096,
+    keep_members: bool = False,
 ) -> DataFrame:
     """Decide how often each document is used.
 
@@ -116,7 +117,9 @@ def mix(
     (null elements are a source of their own).  Sources in code-point order,
     null last, get ``weights`` in rotation.  Returns ``(<id_col>, size,
     source_size, target, taken, repeats)`` with one row per input row;
-    ``source_size`` and ``target`` belong to the first member source.
+    ``source_size`` and ``target`` belong to the first member source.  With
+    ``keep_members`` the distinct sources follow, sorted; rows of equal id and
+    sources have equal ``repeats``.
 
     Defined cases: a null or empty membership takes no part (``taken`` 0,
     ``target`` 0); a null text has size 0 and is taken with 0 words; repeated
@@ -164,7 +167,7 @@ def mix(
         ],
         "_pattern string, source_size long, target double, _base long, _rest long",
     )
-    chosen = _select(rows.select("_id", "size", "_u", "_pattern").join(F.broadcast(plan), "_pattern"), buckets)
+    chosen = _select(rows.select("_id", "size", "_u", "_pattern", *["_members"] * keep_members).join(F.broadcast(plan), "_pattern"), buckets)
     return chosen.select(
         F.col("_id").alias(id_col),
         "size",
@@ -172,6 +175,7 @@ def mix(
         "target",
         (F.col("size") * F.col("repeats")).alias("taken"),
         "repeats",
+        *[F.col("_members").alias(members)] * keep_members,
     )
 
 

@@ -278,7 +278,8 @@ def _two_fingerprints(least: float, shingle: int):
                 # No words count as one empty word, which no text has.
                 bands = keys([shingle_hashes(w or [b""], shingle) for w in words])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *map(pa.array, found), digests, bands], names=["_id", "_fp", "_check", "_digest", "_bands"]
+                    [b.column(0), b.column(2), *map(pa.array, found), digests, bands],
+                    names=["_id", "_hash", "_fp", "_check", "_digest", "_bands"],
                 )
 
     return run
@@ -392,7 +393,10 @@ def near_copies(
     least: float = 0.8,
     shingle: int = 5,
 ) -> DataFrame:
-    """``(node, component)`` for documents that have near copies of similarity ``least`` or more.
+    """``(node, component, text_hash, kept)`` for documents that have near copies of similarity ``least`` or more.
+
+    ``text_hash`` is Spark's ``xxhash64`` of the text and tells the texts of a
+    repeated id apart; ``kept`` marks the one document that stays.
 
     Candidates come from two sources.  Ten three-row MinHash bands over the
     ``shingle``-word runs find a pair at ``least`` with probability 0.999 or
@@ -409,7 +413,9 @@ def near_copies(
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     rows = settle(
-        texts.mapInArrow(_two_fingerprints(least, shingle), "_id long, _fp long, _check long, _digest binary, _bands array<long>"),
+        texts.select("_id", "_text", F.xxhash64("_text").alias("_hash")).mapInArrow(
+            _two_fingerprints(least, shingle), "_id long, _hash long, _fp long, _check long, _digest binary, _bands array<long>"
+        ),
         "near",
     )
     reps = settle(
@@ -434,9 +440,18 @@ def near_copies(
     )
     comp = connected_components(joined.unionByName(_verified(texts, reps, met, least, shingle)), "near-cc")
     named = reps.join(comp, reps["_pid"] == comp["node"], "left").select("_digest", F.coalesce("component", "_pid").alias("_group"))
-    found = settle(rows.select("_id", "_digest").join(named, "_digest").select("_id", "_group"), "near-groups")
+    found = settle(rows.select("_id", "_hash", "_digest").join(named, "_digest").select(F.struct("_id", "_hash").alias("_row"), "_group"), "near-groups")
     first = settle(
-        found.groupBy("_group").agg(F.min("_id").alias("component"), F.max("_id").alias("_last")).where("component <> _last").drop("_last"),
+        found.groupBy("_group").agg(F.min("_row").alias("_first"), F.max("_row").alias("_last")).where("_first <> _last").drop("_last"),
         "near-first",
     )
-    return found.join(first, "_group").select(F.col("_id").alias("node"), "component").distinct()
+    return (
+        found.join(first, "_group")
+        .select(
+            F.col("_row._id").alias("node"),
+            F.col("_first._id").alias("component"),
+            F.col("_row._hash").alias("text_hash"),
+            (F.col("_row") == F.col("_first")).alias("kept"),
+        )
+        .distinct()
+    )

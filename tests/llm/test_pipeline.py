@@ -40,6 +40,20 @@ def test_stages(spark, tmp_path):
     assert total(seen[4]) == total(pack(seen[3]))
 
 
+def test_null_and_repeated_ids_are_judged_by_row(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"term{i}" for i in range(60))
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], COLUMNS)
+    kept = lambda d: sorted(((r.doc_id or 0, r.text) for r in d.collect()))
+    exact = corpus_pipeline._exact(spark, docs([(1, text, "a"), (1, other, "a"), (2, text, "a"), (None, text, "a"), (None, "alone", "a")]), "")
+    assert kept(exact) == [(0, "alone"), (1, other), (2, text)]
+    near = corpus_pipeline._near(spark, docs([(1, text, "a"), (2, text + " more", "a"), (2, other, "a"), (None, text, "a")]), "")
+    assert kept(near) == [(0, text), (1, text), (2, other)]
+    # Equal weights of one source: the mix takes each document at least once.
+    mixed = corpus_pipeline._mixing(spark, docs([(i, text, "a") for i in range(1, 9)] + [(None, other, "a")]), "")
+    assert {r.text for r in mixed.where("doc_id is null").collect()} == {other}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
