@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps; Spark deletes them once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold_case(text):
     """Text with A-Z lower-cased and nothing else changed; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

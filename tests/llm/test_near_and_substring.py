@@ -240,6 +240,32 @@ def test_paragraphs(spark):
         assert r.removed == (comp[key] != key)
 
 
+def test_short_lines_and_passages_within_lines(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    passage = ". ".join(words(17) for _ in range(3)) + "."
+    short, alone = words(9), words(12) + "."
+    rows = [
+        (1, f"{short}\n{words(60)}. {passage} {words(30)}."),
+        (2, f"{words(40)}.  {passage} {words(80)}\n{short.upper()}"),
+        (3, passage.split(". ")[0] + "."),
+        # A sentence of a removed line is no first copy of one that stays: line 0 of 5 goes with 4.
+        (4, f"{(long := words(90))}."),
+        (5, f"{long}. {alone}"),
+        (6, f"{words(40)}. {alone}"),
+    ]
+    found = paragraph_dedup(_docs(spark, rows)).collect()
+    got = {(r.doc_id, r.paragraph, r.start): (r.cluster_doc_id, r.cluster_paragraph, r.cluster_start, r.cluster_size, r.removed) for r in found}
+    text = dict(rows)
+    at = lambda i, s: (i, text[i][: text[i].lower().index(s)].count("\n"), text[i].lower().index(s))
+    parts = [s.rstrip(".") for s in passage.split(". ")]
+    wanted = {}
+    for copies in ([(1, short), (2, short)], [(1, parts[0]), (2, parts[0]), (3, parts[0])], [(1, parts[1]), (2, parts[1])], [(1, parts[2]), (2, parts[2])], [(4, long), (5, long)]):
+        keys = [at(*c) for c in copies]
+        wanted |= {k: (*keys[0], len(keys), k != keys[0]) for k in keys}
+    assert got == wanted
+
+
 def test_empty(spark):
     empty = _docs(spark, [])
     assert sh.simhash_dedup(empty).count() == 0
