@@ -270,6 +270,10 @@ def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
+#: The document of a notice; this one id cannot be told from it.
+NOTICE = np.iinfo(np.int64).min
+
+
 def _announce(span: int, buckets: int):
     """Texts to hashes and places of their segments, by bucket.
 
@@ -289,7 +293,7 @@ def _announce(span: int, buckets: int):
             first = np.zeros(len(h), bool)
             first[by[np.r_[True, ~same]]] = True
             sent = np.flatnonzero(~twin | first)
-            owner = np.where(twin, -1, doc)
+            owner = np.where(twin, NOTICE, doc)
             bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
             out = []
             for key, i in _by_bucket(bucket[sent]):
@@ -338,7 +342,7 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twin = np.zeros(len(h), bool)
         twin[by[1:]] |= same
         twin[by[:-1]] |= same
-        named = twin & (doc >= 0)
+        named = twin & (doc != NOTICE)
         return out(h[named], doc[named], start[named], length[named])
 
     bucket, parts = None, []

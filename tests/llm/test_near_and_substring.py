@@ -134,6 +134,13 @@ def test_suffix_dedup(spark):
     assert got[None].n_removed == 0
 
 
+def test_suffix_dedup_of_negative_ids(spark):
+    rng = random.Random(16)
+    passage = "".join(rng.choices("abcde ", k=250))
+    docs = _docs(spark, [(-5, passage)]).unionByName(_docs(spark, [(-3, passage)]))  # two partitions, two flushes
+    assert {r.doc_id: r.n_removed for r in suffix_dedup(docs).collect()} == {-5: 0, -3: 250}
+
+
 def test_nothing_falls_into_no_bucket():
     from leafmill.llm.suffix_dedup import _by_bucket
 
