@@ -26,6 +26,8 @@ def work_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             found = held.get()
+        elif not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = "file://" + tempfile.mkdtemp(prefix="leafmill-")
             spark.sparkContext.setCheckpointDir(found)
@@ -50,6 +52,41 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, mark, tag: str, most: int = 200_000, words: int = 1 << 18) -> DataFrame:
+    """The rows of ``docs`` that ``gone`` (``_id``, ``_mark``) does not name.
+
+    ``mark`` is a column expression over ``docs`` that tells the rows of a
+    repeated id apart; it is only computed for rows whose id is named.  Up to
+    ``most`` names are broadcast.  Beyond, a Bloom filter of ``words`` 64-bit
+    words is broadcast instead, rows that it clears stay where they are, and
+    only the others are shuffled to meet the names.
+    """
+    gone = settle(gone.select("_id", "_mark").distinct(), tag)
+    named = lambda d: d.join(
+        small if few else gone,
+        # Not spelled as an equality, so that marks are compared where ids are equal and not hashed for every row.
+        F.col(id_col).eqNullSafe(F.col("_id")) & (mark >= F.col("_mark")) & (mark <= F.col("_mark")),
+        "left_anti",
+    )
+    few = gone.count() <= most
+    small = F.broadcast(gone)
+    if few:
+        return named(docs)
+    of = lambda c: F.xxhash64(c)
+    bit = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    bits = (
+        gone.select(F.pmod(of(F.col("_id")), F.lit(words)).alias("_word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(_id), 58) as int))").alias("_bit"))
+        .groupBy("_word")
+        .agg(F.bit_or("_bit").alias("_bits"))
+    )
+    h = of(F.col(id_col))
+    marked = docs.join(F.broadcast(bits), F.pmod(h, F.lit(words)) == F.col("_word"), "left").withColumn(
+        "_met", F.coalesce(F.getbit("_bits", bit(h)) == 1, F.lit(False))
+    )
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~F.col("_met")).select(*columns).unionByName(named(marked.where("_met").select(*columns)))
+
+
 def fold_case(text):
     """Text with A-Z lower-cased and nothing else changed; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

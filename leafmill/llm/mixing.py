@@ -8,7 +8,8 @@ allow.  Each pattern's routed tokens then become whole repeats of all its
 documents plus one more repeat of a seeded selection.
 
 The driver only sees one row per membership pattern; a mixture names its
-sources, so that table has the size of a configuration.
+sources, so that table has the size of a configuration, and more patterns than
+``most_patterns`` are refused.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WORD, settle
@@ -100,48 +101,44 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[float], pas
     return [sum(flow[passes * i : passes * i + passes]) for i in range(p)] if first else []
 
 
-def mix(
-    docs: DataFrame,
-    members: str = "sources",
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    weights: tuple[float, ...] = (1, 2, 3),
-    passes: int = 3,
-    seed: int = 42,
-    buckets: int = 4096,
-    keep_members: bool = False,
-) -> DataFrame:
-    """Decide how often each document is used.
-
-    ``docs`` has an array column ``members`` with the sources of each document
-    (null elements are a source of their own).  Sources in code-point order,
-    null last, get ``weights`` in rotation.  Returns ``(<id_col>, size,
-    source_size, target, taken, repeats)`` with one row per input row;
-    ``source_size`` and ``target`` belong to the first member source.  With
-    ``keep_members`` the distinct sources follow, sorted; rows of equal id and
-    sources have equal ``repeats``.
+def _keyed(docs: DataFrame, members: str | Column, id_col: str, seed: int, buckets: int) -> DataFrame:
+    """Add what decisions go by: the id, the seeded hash and its range, the distinct sources and their text form."""
+    of = F.array_sort(F.array_distinct(F.col(members) if isinstance(members, str) else members))
+    u = F.xxhash64(F.col(id_col), F.lit(seed))
+    return docs.withColumns(
+        {
+            "_mix_id": F.col(id_col),
+            "_mix_u": u,
+            "_mix_bucket": F.pmod(F.shiftrightunsigned(u, 40), F.lit(buckets)).cast("int"),
+            "_mix_members": of,
+            "_mix_pattern": F.to_json(F.struct(of.alias("m")), {"ignoreNullFields": "false"}),
+        }
+    )
 
-    Defined cases: a null or empty membership takes no part (``taken`` 0,
-    ``target`` 0); a null text has size 0 and is taken with 0 words; repeated
-    rows are separate documents with equal seeds, taken together; an empty
-    table gives an empty result; a source without words has target 0.
 
-    A source's taken words differ from its routed tokens by what one best
-    fitting document leaves open, see ``_select``.
-    """
+def _decide(
+    docs: DataFrame,
+    members: str | Column,
+    id_col: str,
+    text_col: str,
+    weights: tuple[float, ...],
+    passes: int,
+    seed: int,
+    buckets: int,
+    most_patterns: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows without their texts, and one row per membership pattern that says which documents repeat how often."""
     spark = docs.sparkSession
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = settle(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col), F.lit(seed)).alias("_u"),
-            F.to_json(F.struct(F.array_sort(F.array_distinct(F.col(members))).alias("m")), {"ignoreNullFields": "false"}).alias("_pattern"),
-            F.array_sort(F.array_distinct(F.col(members))).alias("_members"),
-        ),
+        _keyed(docs.select(F.col(id_col), F.col(text_col), (F.col(members) if isinstance(members, str) else members).alias("_mix_of")), "_mix_of", id_col, seed, buckets)
+        .select("_mix_id", "_mix_u", "_mix_bucket", "_mix_members", "_mix_pattern", size.alias("_mix_size")),
         "mix",
     )
-    found = rows.groupBy("_pattern").agg(F.first("_members").alias("m"), F.sum("size").alias("n")).collect()
-    found.sort(key=lambda r: r["_pattern"] or "")
+    found = rows.groupBy("_mix_pattern").agg(F.first("_mix_members").alias("m"), F.sum("_mix_size").alias("n")).limit(most_patterns + 1).collect()
+    if len(found) > most_patterns:
+        raise ValueError(f"more than {most_patterns} membership patterns; a mixture names its sources")
+    found.sort(key=lambda r: r["_mix_pattern"] or "")
     named = sorted({x for r in found for x in (r["m"] or [])}, key=lambda x: (x is None, x or ""))
     at = {x: i for i, x in enumerate(named)}
     sizes = [0] * len(named)
@@ -157,7 +154,7 @@ def mix(
     plan = spark.createDataFrame(
         [
             (
-                r["_pattern"],
+                r["_mix_pattern"],
                 int(sizes[at[r["m"][0]]]) if r["m"] else 0,
                 float(targets[at[r["m"][0]]]) if r["m"] else 0.0,
                 f // r["n"] if r["n"] else 0,
@@ -165,66 +162,137 @@ def mix(
             )
             for r, f in zip(found, routed, strict=True)
         ],
-        "_pattern string, source_size long, target double, _base long, _rest long",
-    )
-    chosen = _select(rows.select("_id", "size", "_u", "_pattern", *["_members"] * keep_members).join(F.broadcast(plan), "_pattern"), buckets)
-    return chosen.select(
-        F.col("_id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * F.col("repeats")).alias("taken"),
-        "repeats",
-        *[F.col("_members").alias(members)] * keep_members,
+        "_mix_pattern string, _mix_source long, _mix_target double, _mix_base long, _mix_rest long",
     )
+    return rows, settle(_limits(rows, plan), "mix-limits")
 
 
-def _select(rows: DataFrame, buckets: int) -> DataFrame:
-    """Add ``repeats``: ``_base`` plus one for a seeded choice worth ``_rest`` words.
+def _limits(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Where the seeded choice worth ``_mix_rest`` words ends in each pattern.
 
     Documents enter in the order of their seeded hash until the next would
-    exceed ``_rest``; then the document whose size is nearest to the gap enters
+    exceed the rest; then the document whose size is nearest to the gap enters
     too.  Words are first summed by ranges of the hash, so only documents of
     the range where the limit falls are ever sorted together.
     """
-    rows = settle(
-        rows.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_u", 40), F.lit(buckets)).cast("int")), "mix-plan"
+    held = rows.join(F.broadcast(plan), "_mix_pattern")
+    sums = held.groupBy("_mix_pattern", "_mix_rest", "_mix_bucket").agg(F.sum("_mix_size").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_mix_pattern").orderBy("_mix_bucket"))
+    ends = settle(sums.withColumn("_upto", upto).where("_upto > _mix_rest"), "mix-ends")
+    # The first range that does not fit whole, and the words before it.
+    edges = ends.groupBy("_mix_pattern").agg(F.min(F.struct("_mix_bucket", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("_e"))
+    edges = edges.select("_mix_pattern", F.col("_e._mix_bucket").alias("_mix_edge"), F.col("_e._before").alias("_before"))
+    w = Window.partitionBy("_mix_pattern").orderBy("_mix_u", "_mix_id")
+    last = (
+        held.join(F.broadcast(edges), "_mix_pattern")
+        .where("_mix_bucket = _mix_edge")
+        .withColumn("_sum", F.col("_before") + F.sum("_mix_size").over(w))
+        .where("_sum <= _mix_rest")
+        .groupBy("_mix_pattern")
+        .agg(F.max(F.struct("_mix_u", "_mix_id", "_sum")).alias("_last"))
     )
-    sums = rows.groupBy("_pattern", "_rest", "_bucket").agg(F.sum("size").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("_pattern").orderBy("_bucket"))
-    ends = sums.withColumn("_before", upto - F.col("_n")).withColumn(
-        "_side", F.when(F.col("_before") + F.col("_n") <= F.col("_rest"), 1).when(F.col("_before") < F.col("_rest"), 0).otherwise(-1)
+    limits = (
+        plan.join(edges, "_mix_pattern", "left")
+        .join(last, "_mix_pattern", "left")
+        .select(
+            *plan.columns,
+            "_mix_edge",
+            F.col("_last._mix_u").alias("_mix_lu"),
+            F.col("_last._mix_id").alias("_mix_lid"),
+            (F.col("_mix_rest") - F.coalesce("_last._sum", "_before")).alias("_mix_gap"),
+        )
     )
-    sided = rows.join(ends.select("_pattern", "_bucket", "_before", "_side"), ["_pattern", "_bucket"])
-    w = Window.partitionBy("_pattern").orderBy("_u", "_id")
-    edge = (
-        sided.where("_side = 0")
-        .select("_pattern", "_u", "_id", "_rest", (F.col("_before") + F.sum("size").over(w)).alias("_sum"))
-        .where("_sum <= _rest")
+    off = F.abs(F.col("_mix_gap") - F.col("_mix_size"))
+    extra = (
+        rows.join(F.broadcast(limits), "_mix_pattern")
+        .where(~_inside() & (F.col("_mix_size") > 0) & (off < F.col("_mix_gap")))
+        .groupBy("_mix_pattern")
+        .agg(F.min(F.struct(off.alias("d"), "_mix_u", "_mix_id")).alias("_x"))
+        .select("_mix_pattern", F.col("_x._mix_u").alias("_mix_xu"), F.col("_x._mix_id").alias("_mix_xid"))
     )
-    # The edge of each pattern: the last hash and id taken within its limiting range, and the words so far.
-    last = edge.groupBy("_pattern").agg(F.max(F.struct("_u", "_id", "_sum")).alias("_last"))
-    limits = (
-        ends.where("_side = 0")
-        .join(last, "_pattern", "left")
-        .select("_pattern", F.col("_last._u").alias("_lu"), F.col("_last._id").alias("_lid"), F.coalesce("_last._sum", "_before").alias("_got"))
+    return limits.join(extra, "_mix_pattern", "left")
+
+
+def _inside():
+    """Whether a row comes before its pattern's limit."""
+    low = F.lit(-(1 << 63))
+    before = (F.col("_mix_u") < F.col("_mix_lu")) | (
+        (F.col("_mix_u") == F.col("_mix_lu")) & (F.coalesce(F.col("_mix_id").cast("long"), low) <= F.coalesce(F.col("_mix_lid").cast("long"), low))
     )
-    inside = F.coalesce(
-        (F.col("_side") == 0)
-        & ((F.col("_u") < F.col("_lu")) | (F.col("_u") == F.col("_lu")) & (F.coalesce("_id", F.lit(-(1 << 63))) <= F.coalesce("_lid", F.lit(-(1 << 63))))),
-        F.lit(False),
+    at_edge = (F.col("_mix_bucket") == F.col("_mix_edge")) & F.coalesce(before, F.lit(False))
+    return F.col("_mix_edge").isNull() | (F.col("_mix_bucket") < F.col("_mix_edge")) | at_edge
+
+
+def _applied(keyed: DataFrame, limits: DataFrame, name: str) -> DataFrame:
+    """Add the column ``name``: how often each row is used.  No row moves: there is one limit row per pattern."""
+    extra = F.coalesce((F.col("_mix_u") == F.col("_mix_xu")) & F.col("_mix_id").eqNullSafe(F.col("_mix_xid")), F.lit(False))
+    return keyed.join(F.broadcast(limits), "_mix_pattern").withColumn(
+        name, F.col("_mix_base") + ((F.col("_mix_rest") > 0) & (_inside() | extra)).cast("long")
     )
-    # One row per membership pattern each: the driver held as many to route the flow.
-    marked = sided.join(F.broadcast(limits), "_pattern", "left").withColumn("_in", (F.col("_side") == 1) | inside)
-    gap = F.col("_rest") - F.col("_got")
-    extra = (
-        marked.where(~F.col("_in") & (gap > 0) & (F.col("size") > 0) & (F.abs(gap - F.col("size")) < gap))
-        .groupBy("_pattern")
-        .agg(F.min(F.struct(F.abs(gap - F.col("size")).alias("d"), "_u", "_id")).alias("_x"))
-        .select("_pattern", F.col("_x._u").alias("_xu"), F.col("_x._id").alias("_xid"))
+
+
+def mix(
+    docs: DataFrame,
+    members: str | Column = "sources",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    weights: tuple[float, ...] = (1, 2, 3),
+    passes: int = 3,
+    seed: int = 42,
+    buckets: int = 4096,
+    most_patterns: int = 10_000,
+) -> DataFrame:
+    """Decide how often each document is used.
+
+    ``docs`` has an array column ``members`` with the sources of each document
+    (null elements are a source of their own).  Sources in code-point order,
+    null last, get ``weights`` in rotation.  Returns ``(<id_col>, size,
+    source_size, target, taken, repeats)`` with one row per input row;
+    ``source_size`` and ``target`` belong to the first member source.
+
+    Defined cases: a null or empty membership takes no part (``taken`` 0,
+    ``target`` 0); a null text has size 0 and is taken with 0 words; repeated
+    rows are separate documents with equal seeds, taken together; an empty
+    table gives an empty result; a source without words has target 0; more
+    than ``most_patterns`` different memberships are an error.
+
+    A source's taken words differ from its routed tokens by what one best
+    fitting document leaves open, see ``_limits``.
+    """
+    rows, limits = _decide(docs, members, id_col, text_col, weights, passes, seed, buckets, most_patterns)
+    return _applied(rows, limits, "_mix_repeats").select(
+        F.col("_mix_id").alias(id_col),
+        F.col("_mix_size").alias("size"),
+        F.col("_mix_source").alias("source_size"),
+        F.col("_mix_target").alias("target"),
+        (F.col("_mix_size") * F.col("_mix_repeats")).alias("taken"),
+        F.col("_mix_repeats").alias("repeats"),
     )
-    return marked.join(F.broadcast(extra), "_pattern", "left").withColumn(
-        "repeats",
-        F.col("_base")
-        + (F.col("_in") | F.coalesce((F.col("_u") == F.col("_xu")) & F.col("_id").eqNullSafe(F.col("_xid")), F.lit(False))).cast("long"),
+
+
+def repeat_by_mix(
+    docs: DataFrame,
+    members: str | Column = "sources",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    weights: tuple[float, ...] = (1, 2, 3),
+    passes: int = 3,
+    seed: int = 42,
+    buckets: int = 4096,
+    most_patterns: int = 10_000,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; texts stay where they are.
+
+    Cases are those of ``mix``.  Names that begin with ``_mix_`` are used
+    inside; columns of such names are an error.
+    """
+    if clash := [c for c in docs.columns if c.startswith("_mix_")]:
+        raise ValueError(f"columns {clash} are used inside")
+    _, limits = _decide(docs, members, id_col, text_col, weights, passes, seed, buckets, most_patterns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return (
+        _applied(_keyed(docs, members, id_col, seed, buckets), limits, "_mix_repeats")
+        .where("_mix_repeats > 0")
+        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_repeats").cast("int"))))
+        .select(*columns)
     )

@@ -17,9 +17,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 1 << 20
@@ -147,9 +148,11 @@ def train(
     wanted = labels.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), *[F.expr(c).cast("int").alias(f"_y{k}") for k, c in enumerate(categories.values())]
     )
+    # Of several labels of one id the largest counts, so that reruns agree.
     wanted = (
         wanted.dropna()
-        .dropDuplicates(["_id"])
+        .groupBy("_id")
+        .agg(*[F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(categories))])
         .orderBy(F.xxhash64("_id", F.lit(seed)), "_id")
         .limit(sample)
     )
@@ -174,57 +177,81 @@ def train(
     return fit_chain(found, y, tuple(categories))
 
 
-def _score(chain: Chain, schema_names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Words a scoring worker remembers, and the longest it remembers: at most some 15 MB.
+REMEMBERED, LONGEST = 50_000, 48
+
+
+class _Scorer:
+    """Probabilities of texts, in chain order."""
+
+    def __init__(self, chain: Chain):
+        self.models = chain.models
         wanted = np.unique(np.concatenate([m.features for m in chain.models]))
-        wanted_set = frozenset(wanted.tolist())
-        table = np.zeros((len(chain.models), len(wanted)))
+        self.table = np.zeros((len(chain.models), len(wanted)))
         for k, m in enumerate(chain.models):
-            table[k, np.searchsorted(wanted, m.features)] = m.weights
-        place = {f: i for i, f in enumerate(wanted.tolist())}
-        known: dict[str, tuple[int, ...]] = {}
+            self.table[k, np.searchsorted(wanted, m.features)] = m.weights
+        self.place = {f: i for i, f in enumerate(wanted.tolist())}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        at = self.known.get(word)
+        if at is None:
+            at = tuple(self.place[f] for f in word_features(word) if f in self.place)
+            if len(word) <= LONGEST:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[word] = at
+        return at
+
+    def __call__(self, text: str | None) -> list[float]:
+        hit: set[int] = set()
+        for w in set(_words((text or "").lower())):
+            if at := self._word(w):
+                hit.update(at)
+        z = self.table[:, sorted(hit)].sum(axis=1)
+        before: list[float] = []
+        for k, m in enumerate(self.models):
+            before.append(float(np.clip(z[k] + m.bias + np.dot(m.chain, before), -30, 30)))
+        return [1 / (1 + np.exp(-odds)) for odds in before]
+
+
+def _score(chain: Chain, schema_names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(chain)
         for b in batches:
-            out = np.zeros((b.num_rows, len(chain.models)))
-            for i, t in enumerate(b.column(b.num_columns - 1)):
-                hit: set[int] = set()
-                for w in set(_words((t.as_py() or "").lower())):
-                    at = known.get(w)
-                    if at is None:
-                        at = tuple(place[f] for f in word_features(w) if f in wanted_set)
-                        if len(known) > 500_000:
-                            known.clear()
-                        known[w] = at
-                    if at:
-                        hit.update(at)
-                z = table[:, sorted(hit)].sum(axis=1)
-                before: list[float] = []
-                for k, m in enumerate(chain.models):
-                    odds = float(np.clip(z[k] + m.bias + np.dot(m.chain, before), -30, 30))
-                    before.append(odds)
-                    out[i, k] = 1 / (1 + np.exp(-odds))
+            out = np.array([scorer(t.as_py()) for t in b.column(1)], float).reshape(b.num_rows, len(chain.models))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], *[pa.array(out[:, k]) for k in range(len(chain.models))]], names=schema_names
+                [b.column(0), *[pa.array(out[:, k]) for k in range(len(chain.models))]], names=schema_names
             )
 
     return run
 
 
-def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Add ``p_<category>`` for every category, one row per input row.
+def probability(text: Column, chain: Chain, category: str) -> Column:
+    """The probability of ``category`` as a column: only texts go to Python, and one number a row comes back."""
+    k = chain.categories.index(category)
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = _Scorer(chain)
+        for part in parts:
+            yield pd.Series([scorer(t)[k] for t in part], dtype="float64")
+
+    return scored(text.cast("string"))
+
 
-    Returns the id and the probabilities, or all columns of ``docs`` with
-    ``keep_columns``.  Null and empty texts get the probability of a text
-    without features; repeated rows get equal scores; an empty table gives an
-    empty result.  A category whose training labels are all equal is constant.
+def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(<id_col>, p_<category> for every category)``, one row per input row.
+
+    Null and empty texts get the probability of a text without features;
+    repeated rows get equal scores; an empty table gives an empty result.  A
+    category whose training labels are all equal is constant.
     """
-    plain = docs if keep_columns else docs.select(id_col, text_col)
-    # The text travels once more as the last column, which the scorer drops.
-    carried = plain.columns if keep_columns else [id_col]
     probs = [f"p_{c}" for c in chain.categories]
-    clash = [c for c in carried if c in probs]
-    source = plain.select(*[F.col(f"`{c}`") for c in carried if c not in clash], F.col(text_col).cast("string").alias("_scored_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + [f"`{p}` double" for p in probs]
-    return source.mapInArrow(_score(chain, [*source.columns[:-1], *probs]), ", ".join(fields))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(
+        _score(chain, [id_col, *probs]), f"`{id_col}` {kind}, " + ", ".join(f"`{p}` double" for p in probs)
+    )
 
 
 #: The labelled categories of the data folder, in chain order.

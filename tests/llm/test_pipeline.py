@@ -57,3 +57,16 @@ def test_null_and_repeated_ids_are_judged_by_row(spark):
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_dropping_rows_by_a_bloom_filter_equals_broadcasting(spark):
+    from pyspark.sql import functions as F
+
+    from leafmill.llm._shared import drop_rows
+
+    rows = [(i if i % 17 else None, f"text {i}", "en", "a", 1) for i in range(400)] + [(5, "other", "en", "a", 1), (5, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    gone = docs.where("n_chars = 1 and (doc_id % 3 = 0 or doc_id is null or text = 'text 5')").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_mark"))
+    got = [sorted((r.doc_id or -1, r.text or "") for r in drop_rows(docs, gone, "doc_id", F.xxhash64("text"), "t", most, 8).collect()) for most in (1000, 0)]
+    want = sorted((i or -1, t or "") for i, t, *_ in rows if not (i is None or i % 3 == 0 or t == "text 5"))
+    assert got[0] == got[1] == want
