@@ -24,8 +24,8 @@ from ._shared import settle
 PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
 #: The split of the tokenizer file (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks, and pieces, that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Chunks, and pieces, that a worker remembers before it starts anew, and the letters they have together.
+REMEMBERED, LETTERS = 100_000, 2_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,23 +57,25 @@ class Encoder:
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
             spelled = piece.encode().decode("latin-1").translate(self.letters)
             found = np.array([t.id for t in self.model.tokenize(spelled)], self.wide).tobytes()
             self.pieces[piece] = found
         return found
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) >= REMEMBERED:
+        if len(self.chunks) >= REMEMBERED or self.held >= LETTERS:
             self.chunks.clear()
+            self.pieces.clear()
+            self.held = 0
         for c in chunks:
             if c not in self.chunks:
                 self.chunks[c] = b"".join(map(self._piece, self.split(c)))
+                self.held += len(c)
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""

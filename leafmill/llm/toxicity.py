@@ -17,7 +17,6 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -231,11 +230,11 @@ def probability(text: Column, chain: Chain, category: str) -> Column:
     """The probability of ``category`` as a column: only texts go to Python, and one number a row comes back."""
     k = chain.categories.index(category)
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = _Scorer(chain)
         for part in parts:
-            yield pd.Series([scorer(t)[k] for t in part], dtype="float64")
+            yield pa.array([scorer(t.as_py())[k] for t in part], pa.float64())
 
     return scored(text.cast("string"))
 
