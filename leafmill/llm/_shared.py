@@ -35,15 +35,24 @@ def work_dir(spark: SparkSession) -> str:
     return found
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+def settle(df: DataFrame, tag: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors: what is reread is
     a table on shared storage, never a block on one machine.
     """
     path = f"{work_dir(df.sparkSession)}/leafmill/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``settle`` wrote, once nothing that is still to run reads it."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._settled_at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -72,19 +81,28 @@ def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, mark, tag: str, mos
     small = F.broadcast(gone)
     if few:
         return named(docs)
-    of = lambda c: F.xxhash64(c)
-    bit = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    marked = _bloomed(docs, gone, id_col, "_id", words)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where(~F.col("_met")).select(*columns).unionByName(named(marked.where("_met").select(*columns)))
+
+
+def _bloomed(rows: DataFrame, names: DataFrame, id_col: str, name_col: str, words: int) -> DataFrame:
+    """Add ``_met``: false only where the id is certainly not among ``names``; a filter of ``words`` 64-bit words is broadcast."""
     bits = (
-        gone.select(F.pmod(of(F.col("_id")), F.lit(words)).alias("_word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(_id), 58) as int))").alias("_bit"))
+        names.select(F.pmod(F.xxhash64(name_col), F.lit(words)).alias("_word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({name_col}), 58) as int))").alias("_bit"))
         .groupBy("_word")
         .agg(F.bit_or("_bit").alias("_bits"))
     )
-    h = of(F.col(id_col))
-    marked = docs.join(F.broadcast(bits), F.pmod(h, F.lit(words)) == F.col("_word"), "left").withColumn(
-        "_met", F.coalesce(F.getbit("_bits", bit(h)) == 1, F.lit(False))
+    h = F.xxhash64(F.col(id_col))
+    return rows.join(F.broadcast(bits), F.pmod(h, F.lit(words)) == F.col("_word"), "left").withColumn(
+        "_met", F.coalesce(F.getbit("_bits", F.shiftrightunsigned(h, 58).cast("int")) == 1, F.lit(False))
     )
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.where(~F.col("_met")).select(*columns).unionByName(named(marked.where("_met").select(*columns)))
+
+
+def pick_rows(rows: DataFrame, names: DataFrame, key: str, words: int = 1 << 18) -> DataFrame:
+    """The rows whose ``key`` is among ``names``; only rows that pass a Bloom filter of fixed size are shuffled."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return _bloomed(rows, names, key, key, words).where("_met").select(*columns).join(names, key, "left_semi")
 
 
 def fold_case(text):

@@ -1,7 +1,9 @@
 """SimHash, suffix arrays and paragraphs against brute force."""
 
+import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -218,59 +220,91 @@ def test_tuned_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)
 
 
-def test_paragraphs(spark):
-    rng = random.Random(7)
-    line = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
-    shared, rows = [line(60) for _ in range(5)], []
-    for i in range(80):
-        body = [line(30), line(5)]
-        if i % 4 == 0:
-            words = rng.choice(shared).split()
-            for _ in range(rng.randrange(3)):
-                words[rng.randrange(60)] = "edit"
-            body.insert(1, " ".join(words))
-        rows.append((i, "\n".join(body)))
-    rows += [(200, None), (201, ""), (202, "short line\n" * 50)]
-    got = {(r.doc_id, r.paragraph): r for r in paragraph_dedup(_docs(spark, rows)).collect()}
-    pars = {}
-    for i, t in rows:
-        for k, x in enumerate((t or "").split("\n")):
-            w = x.lower().split()
-            if len(w) >= 20:
-                pars[i, k] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-    linked = [(a, b) for a in pars for b in pars if a < b and len(pars[a] & pars[b]) / len(pars[a] | pars[b]) >= 0.8]
-    comp = _components(sorted(pars), linked)
-    in_links = {x for e in linked for x in e}
-    assert set(got) == in_links
-    for key, r in got.items():
-        assert (r.cluster_doc_id, r.cluster_paragraph) == comp[key]
-        assert r.removed == (comp[key] != key)
-
-
-def test_short_lines_and_passages_within_lines(spark):
+def _paragraphs_by_hand(text, window=30, length=20):
+    """Starts, ends and words of the paragraphs, one window at a time."""
+    body = (text or "").encode().lower()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", body)]
+    words = [body[a:b] for a, b in spans]
+    n = len(words)
+    if n < length:
+        return [(spans[0][0], spans[-1][1], words)] if n else []
+    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(n - 4)]
+    w = min(window, len(h))
+    at = {min(range(i, i + w), key=lambda k: (h[k], k)) for i in range(len(h) - w + 1)}
+    at = {k for k in at if all((h[k], k) <= (h[j], j) for j in range(k - 1, k + 2) if j in at)}
+    at |= {k for k in (0, n - length) if not at & set(range(k - 1, k + 2))}
+    return [(spans[k][0], spans[k + length - 1][1], words[k : k + length]) for k in sorted(at) if k + length <= n]
+
+
+def _shingle_set(words):
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_paragraphs_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
-    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
-    passage = ". ".join(words(17) for _ in range(3)) + "."
-    short, alone = words(9), words(12) + "."
-    rows = [
-        (1, f"{short}\n{words(60)}. {passage} {words(30)}."),
-        (2, f"{words(40)}.  {passage} {words(80)}\n{short.upper()}"),
-        (3, passage.split(". ")[0] + "."),
-        # A sentence of a removed line is no first copy of one that stays: line 0 of 5 goes with 4.
-        (4, f"{(long := words(90))}."),
-        (5, f"{long}. {alone}"),
-        (6, f"{words(40)}. {alone}"),
-    ]
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    lay = lambda words: "".join(w + rng.choice(["  ", " ", " ", "\n", "\t"]) for w in words)
+    rows = []
+    for i in range(25):
+        passage = fresh(51)  # stands within lines, at any place
+        rows += [(2 * i, lay(fresh(rng.randrange(200)) + passage + fresh(rng.randrange(200)))), (2 * i + 1, lay(fresh(30) + passage + fresh(rng.randrange(90))))]
+    clean = [(100 + i, lay(fresh(150))) for i in range(20)]
+    short = fresh(9)
+    edited = [*short[:8], "other"]
+    rows += clean + [(200, lay(short)), (201, lay(short).upper()), (202, lay(edited)), (203, None), (204, " \n"), (205, "one"), (206, "one"), (206, "one"), (None, lay(short))]
+    long = fresh(120)
+    rows += [(300, lay(long)), (301, lay(long)), (302, lay([*long[:60], "changed", *long[61:]]))]
     found = paragraph_dedup(_docs(spark, rows)).collect()
-    got = {(r.doc_id, r.paragraph, r.start): (r.cluster_doc_id, r.cluster_paragraph, r.cluster_start, r.cluster_size, r.removed) for r in found}
-    text = dict(rows)
-    at = lambda i, s: (i, text[i][: text[i].lower().index(s)].count("\n"), text[i].lower().index(s))
-    parts = [s.rstrip(".") for s in passage.split(". ")]
-    wanted = {}
-    for copies in ([(1, short), (2, short)], [(1, parts[0]), (2, parts[0]), (3, parts[0])], [(1, parts[1]), (2, parts[1])], [(1, parts[2]), (2, parts[2])], [(4, long), (5, long)]):
-        keys = [at(*c) for c in copies]
-        wanted |= {k: (*keys[0], len(keys), k != keys[0]) for k in keys}
-    assert got == wanted
+    got = {(r.doc_id, r.start): r for r in found}
+    units = {(i, a): (b - a, words) for i, t in rows if i is not None for a, b, words in _paragraphs_by_hand(t)}
+    sets = {u: _shingle_set(words) for u, (_, words) in units.items()}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    order = sorted(units)
+    comp = _components(order, [(a, b) for k, a in enumerate(order) for b in order[:k] if near(a, b)])
+    size = collections.Counter(comp.values())
+    assert set(got) == {u for u in order if size[comp[u]] > 1}
+    for u, r in got.items():
+        assert (r.cluster_doc_id, r.cluster_start) == comp[u] and (r.length, r.n_words) == (units[u][0], len(units[u][1]))
+        first = comp[u]
+        assert r.removed == (u[0] != first[0] or u[1] >= first[1] + units[first][0])
+    # Every planted passage of over 50 words is met in both documents, no clean document is.
+    assert {r.doc_id for r in found} >= set(range(50)) | {200, 201, 205, 206, 300, 301, 302}
+    assert not {r.doc_id for r in found} & ({i for i, _ in clean} | {203, 204, None})
+    assert [r.removed for r in found if r.doc_id == 206] == [True, True]
+
+
+def test_close_sets_lose_no_link():
+    from leafmill.llm.paragraph_dedup import close_sets
+
+    rng = np.random.default_rng(10)
+    base = [rng.choice(1 << 40, 16, replace=False).astype(np.uint64) for _ in range(4)]
+    sets = []
+    for _ in range(250):
+        x = base[rng.integers(4)].copy()
+        x[rng.integers(16, size=rng.integers(0, 3))] = rng.integers(1 << 40, dtype=np.uint64)
+        sets.append(np.unique(x[: rng.choice([16, 16, 16, 15, 14, 13])]))
+    sets += [np.arange(40, dtype=np.uint64), np.arange(4, 44, dtype=np.uint64), np.arange(9, 49, dtype=np.uint64), np.zeros(1, np.uint64)]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    ids = range(len(sets))
+    want = _components(ids, [(i, j) for j in ids for i in range(j) if near(sets[i], sets[j])])
+    got = close_sets(sets, 0.8)
+    assert _components(ids, got) == want and len(got) < len(sets)
+
+
+def test_slabs_do_not_change_paragraphs(monkeypatch):
+    from leafmill.llm import paragraph_dedup as pd
+
+    rng = random.Random(9)
+    text = " ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(3000)).encode()
+    def cut():
+        return [(a, b, joined[x:y], h[k]) for joined, found, place, start, end, h in pd.cut(text, 30, 20) for k, x, y, a, b in zip(found, *place, start, end, strict=True)]
+
+    whole = cut()
+    monkeypatch.setattr(pd, "SLAB", 97)
+    assert cut() == whole
+    assert all(text[a:b].split() == words.split() and h == pd.shingle_hashes(words.split())[0] for a, b, words, h in whole)
+    # One word again and again is cut every so often, not at every word.
+    assert 100 < sum(len(found) for _, found, *_ in pd.cut(b"same " * 5000, 30, 20)) < 400
 
 
 def test_empty(spark):
