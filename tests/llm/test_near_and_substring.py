@@ -274,7 +274,10 @@ def test_paragraphs_against_brute_force(spark, monkeypatch):
 
 
 def test_close_sets_lose_no_link():
-    from leafmill.llm.paragraph_dedup import close_sets
+    from leafmill.llm.paragraph_dedup import _few_sets, close_sets, shingle_hashes, shingle_sets
+
+    texts = [b"a b c d e f", b"x", b"q w e r", b"a b c d e", b"k l m n o p q r"]
+    assert shingle_sets(texts) == [frozenset(shingle_hashes(t.split()).tolist()) for t in texts]
 
     rng = np.random.default_rng(10)
     base = [rng.choice(1 << 40, 16, replace=False).astype(np.uint64) for _ in range(4)]
@@ -287,6 +290,8 @@ def test_close_sets_lose_no_link():
     near = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     ids = range(len(sets))
     want = _components(ids, [(i, j) for j in ids for i in range(j) if near(sets[i], sets[j])])
+    few = _few_sets([frozenset(x.tolist()) for x in sets], 0.8)
+    assert _components(ids, few) == want and len(few) < len(sets)
     got = close_sets(sets, 0.8)
     assert _components(ids, got) == want and len(got) < len(sets)
 
