@@ -88,10 +88,26 @@ def edge_cases(features: DataFrame, rules=EDGE_RULES, id_col: str = "doc_id") ->
     return cases.withColumn("severity_rank", ranks[F.col("severity")])
 
 
-def interest_reason(cases: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The case that makes a document interesting: rarest first, then by type."""
-    best = F.min(F.struct((-F.col("severity_rank")).alias("r"), "case_type"))
-    return cases.where("severity_rank >= 1").groupBy(id_col).agg(best.alias("b")).select(id_col, F.col("b.case_type").alias("reason"), (-F.col("b.r")).alias("severity_rank"))
+def interest_reason(cases: DataFrame, features: DataFrame, rules=EDGE_RULES, id_col: str = "doc_id") -> DataFrame:
+    """``(<id>, reason, severity_rank)``: why a document is interesting; dull ones have no row.
+
+    The first rare case in the order of ``rules``, else the first unusual one,
+    else ``tables_and_images``, else ``nested_tables`` (deeper than one), else
+    the first noteworthy case.  The two combinations have no rank.
+    """
+    order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r[0], i)])
+    loud = cases.where("severity_rank >= 1").select(
+        id_col, F.when(F.col("severity_rank") == 1, 4).otherwise(3 - F.col("severity_rank")).alias("_place"), order[F.col("case_type")].alias("_at"),
+        F.col("case_type").alias("reason"), "severity_rank",
+    )
+    has = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in features.columns else F.lit(0)
+    both, nested = (has("tables") > 0) & (has("images") > 0), has("table_nesting") > 1
+    made = features.where(both | nested).select(
+        id_col, F.when(both, 2).otherwise(3).alias("_place"), F.lit(0).alias("_at"),
+        F.when(both, "tables_and_images").otherwise("nested_tables").alias("reason"), F.lit(None).cast("int").alias("severity_rank"),
+    )
+    first = F.min(F.struct("_place", "_at", "reason", "severity_rank")).alias("f")
+    return loud.unionByName(made).groupBy(id_col).agg(first).select(id_col, "f.reason", "f.severity_rank")
 
 
 def error_category(message: Column) -> Column:
@@ -112,8 +128,11 @@ def corpus_stats(store: DataFrame) -> DataFrame:
 
 
 def upsert(store: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """Last write per (path, corpus) wins: by ``order``, larger is later; a failure has no features and vice versa."""
-    w = Window.partitionBy("path", "corpus").orderBy(F.col(order).desc())
+    """Last write per (path, corpus) wins: by ``order``, larger is later; a failure has no features and vice versa.
+
+    Of equal ``order`` values the row with the larger content digest wins, so reruns agree.
+    """
+    w = Window.partitionBy("path", "corpus").orderBy(F.col(order).desc(), F.xxhash64(*[F.col(c) for c in store.columns]).desc())
     return (
         store.unionByName(new)
         .withColumn("_k", F.row_number().over(w))
@@ -135,15 +154,21 @@ def word_counts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     return df.select(F.col(id_col), F.explode(words(F.col(text_col))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
 
 
-def word_coverage(reference: DataFrame, ours: DataFrame, id_col: str) -> DataFrame:
-    """Share of each reference's words that ``ours`` (one multiset, ``word, n``) has; 1 without words."""
+def word_coverage(reference: DataFrame, ours: DataFrame, id_col: str, ids: DataFrame | None = None) -> DataFrame:
+    """Share of each reference's words that ``ours`` (one multiset, ``word, n``) has; 1 without words.
+
+    ``ids`` names the references; without it those without words have no row.
+    """
     total = reference.groupBy(id_col).agg(F.sum("n").alias("_t"))
     got = (
         reference.join(ours.withColumnRenamed("n", "_o"), "word", "left")
         .groupBy(id_col)
         .agg(F.sum(F.least("n", F.coalesce("_o", F.lit(0)))).alias("_g"))
     )
-    return total.join(got, id_col).select(id_col, F.col("_t").alias("ref_words"), F.col("_g").alias("found"), F.round(F.coalesce(F.try_divide("_g", "_t"), F.lit(1.0)), 6).alias("coverage"))
+    counted = total.join(got, id_col)
+    if ids is not None:
+        counted = ids.select(id_col).distinct().join(counted, id_col, "left").na.fill(0, ["_t", "_g"])
+    return counted.select(id_col, F.col("_t").alias("ref_words"), F.col("_g").alias("found"), F.round(F.coalesce(F.try_divide("_g", "_t"), F.lit(1.0)), 6).alias("coverage"))
 
 
 def missing_words(reference: DataFrame, ours: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,8 +49,6 @@ def docs(df: DataFrame, fmt: str, id_col: str, source_col: str) -> DataFrame:
     """One row per document: metadata as JSON, or the category of its error."""
 
     def run(batches):
-        import json
-
         from ..sources.registry import categorize, parse
 
         for pdf in batches:
@@ -89,17 +88,31 @@ def warnings(df: DataFrame, fmt: str, id_col: str, source_col: str) -> DataFrame
     ).mapInPandas(run, WARNINGS)
 
 
-def emit(nodes_df: DataFrame, fmt: str) -> DataFrame:
-    """``(doc_id, output)``: every document written in ``fmt``."""
+def emit(nodes_df: DataFrame, fmt: str, docs_df: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, output)``: every document written in ``fmt``, as bytes; text formats are UTF-8.
+
+    ``docs_df`` (``doc_id``, ``metadata`` as JSON) gives titles and the like;
+    without it documents have none.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from ..model import Document, rebuild
         from ..sinks import write
 
-        out = write(fmt, Document(rebuild(pdf.to_dict("records"))))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "output": [out]})
-
-    return nodes_df.groupBy("doc_id").applyInPandas(run, "doc_id long, output string")
+        doc = Document(rebuild(pdf.drop(columns="_metadata").to_dict("records")))
+        held = [m for m in pdf["_metadata"] if isinstance(m, str)]
+        if held:
+            doc.metadata = json.loads(held[0])
+        out = write(fmt, doc)
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "output": [out.encode("utf-8", "replace") if isinstance(out, str) else out]})
+
+    if docs_df is None:
+        held = nodes_df.withColumn("_metadata", F.lit(None).cast("string"))
+    else:
+        # Metadata travels on the root row alone.
+        roots = docs_df.select(F.col("doc_id"), F.col("metadata").alias("_metadata"), F.lit(0).alias("node_id"))
+        held = nodes_df.join(roots, ["doc_id", "node_id"], "left")
+    return held.groupBy("doc_id").applyInPandas(run, "doc_id long, output binary")
 
 
 def line_nodes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

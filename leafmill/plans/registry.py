@@ -96,7 +96,7 @@ def page_warnings(spark, d):
 
 @query()
 def page_to_markdown(spark, d):
-    return D.emit(_pages(spark, d), "markdown")
+    return D.emit(_pages(spark, d), "markdown").withColumn("output", F.col("output").cast("string"))
 
 
 @query()
@@ -208,12 +208,13 @@ def doc_word_counts(spark, d):
         o AS (SELECT word, count(*) AS o FROM ({_WORDS.format(id="doc_id", t="documents")}) GROUP BY word)
         SELECT item_id, sum(n)::BIGINT AS ref_words, sum(least(n, coalesce(o, 0)))::BIGINT AS found,
                round(sum(least(n, coalesce(o, 0))) / sum(n), 6) AS coverage
-        FROM r LEFT JOIN o USING (word) GROUP BY item_id"""
+        FROM r LEFT JOIN o USING (word) GROUP BY item_id
+        UNION ALL SELECT DISTINCT item_id, 0::BIGINT, 0::BIGINT, 1.0 FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM r)"""
 )
 def word_coverage(spark, d):
     ref = C.word_counts(_t(spark, d, "benchmark"), "item_id")
     ours = C.word_counts(_t(spark, d, "documents"), "doc_id").groupBy("word").agg(F.sum("n").alias("n"))
-    return C.word_coverage(ref, ours, "item_id")
+    return C.word_coverage(ref, ours, "item_id", _t(spark, d, "benchmark"))
 
 
 @query(
@@ -302,11 +303,14 @@ def edge_case_max(spark, d):
 
 @query(
     _CASES
-    + """, w AS (SELECT doc_id, case_type, severity_rank, row_number() OVER (PARTITION BY doc_id ORDER BY severity_rank DESC, case_type) AS k FROM e WHERE severity_rank >= 1)
+    + """, w AS (SELECT doc_id, case_type, severity_rank, row_number() OVER (PARTITION BY doc_id ORDER BY severity_rank DESC,
+        list_position(['many_paragraphs', 'many_tables', 'many_fonts', 'many_styles'], case_type)) AS k FROM e WHERE severity_rank >= 1)
     SELECT doc_id, case_type AS reason, severity_rank FROM w WHERE k = 1"""
 )
 def interest_reason(spark, d):
-    return C.interest_reason(C.edge_cases(_features(spark, d)))
+    # These features know neither images nor nesting, so only the cases decide.
+    f = _features(spark, d)
+    return C.interest_reason(C.edge_cases(f), f)
 
 
 @query(
