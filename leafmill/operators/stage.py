@@ -18,6 +18,9 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        master = spark.sparkContext.master
+        if not held.isDefined() and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/leafmill/{tag}-{uuid.uuid4().hex}"
