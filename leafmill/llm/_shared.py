@@ -105,6 +105,18 @@ def pick_rows(rows: DataFrame, names: DataFrame, key: str, words: int = 1 << 18)
     return _bloomed(rows, names, key, key, words).where("_met").select(*columns).join(names, key, "left_semi")
 
 
+def join_hot(rows: DataFrame, names: DataFrame, on: list[str], weight: str, total: int, most: int = 4096) -> DataFrame:
+    """Inner join of ``rows`` with ``names``, which has one row per key and in ``weight`` how many of the ``total`` rows have it.
+
+    Keys of ``1/most`` of the rows or more, of which there are at most
+    ``most``, are broadcast; only the rows of the others are shuffled.
+    """
+    often = F.col(weight) * F.lit(most) >= F.lit(total)
+    hot = F.broadcast(names.where(often).drop(weight))
+    seldom = rows.join(F.broadcast(names.where(often).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(seldom.join(names.where(~often).drop(weight), on))
+
+
 def fold_case(text):
     """Text with A-Z lower-cased and nothing else changed; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

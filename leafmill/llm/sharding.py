@@ -6,19 +6,21 @@ tree by remaining capacity.  The smallest capacity for which the wanted
 number of bins suffices is found by bisection, so shard sizes come out nearly
 equal.
 
-At corpus scale the packing itself must stay bounded, so a group is an item of
-its own only if it holds at least ``1/fine`` of all bytes (there are at most
-``fine`` of those); smaller groups are bundled by the hash of their text into
-``bundles`` items.  Hence the packer sees at most ``fine + bundles + cut``
-items whatever the input, and its plan is a table of that size.
+All groups enter the packing.  Groups of equal size are dealt as one run: the
+tightest bin stays the tightest while it takes them, so a run fills it as far
+as it goes and then the next.  The packer therefore needs one row per distinct
+size (n sizes add up to at least n * n / 2 bytes, so there are few), and a
+group finds its shard by its rank among the groups of its size.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate, groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import settle
+from ._shared import join_hot, settle
 
 
 class CapacityTree:
@@ -77,44 +79,73 @@ class CapacityTree:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most_bins: int | None = None) -> list[int] | None:
-    """Bin of each item, opening a bin only where none has room.
+def deal_runs(runs: list[tuple[int, int]], capacity: int, most_bins: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """Best-fit-decreasing of ``(size, count)`` runs of strictly falling size: per run its ``(items, bin)`` pieces in order.
 
-    ``None`` if an item exceeds ``capacity`` or more than ``most_bins`` bins
-    would be needed.  Ties go to the lower item and bin number.
+    The same as placing the items one by one, opening a bin only where none
+    has room.  ``None`` if an item exceeds ``capacity`` or more than
+    ``most_bins`` bins would be needed.  Ties go to the lower bin number.
     """
-    tree, used, out = CapacityTree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
+    tree, used, out = CapacityTree(), 0, []
+    for size, left in runs:
+        if size > capacity:
             return None
-        found = tree.take_tightest(sizes[i])
-        if found is None:
-            if used == most_bins:
-                return None
-            found = (capacity, used)
-            used += 1
-        out[i] = found[1]
-        tree.add(found[0] - sizes[i], found[1])
+        pieces = []
+        while left:
+            found = tree.take_tightest(size)
+            if found is None:
+                if used == most_bins:
+                    return None
+                found = (capacity, used)
+                used += 1
+            n = min(left, found[0] // size)
+            tree.add(found[0] - n * size, found[1])
+            pieces.append((n, found[1]))
+            left -= n
+        out.append(pieces)
     return out
 
 
-def pack_evenly(sizes: list[int], bins: int) -> list[int]:
-    """Best-fit-decreasing at the least capacity (to 1/10000) that ``bins`` bins allow."""
-    total = sum(sizes)
-    low = max(-(-total // bins), max(sizes, default=0))
-    best, high = None, low
+def best_fit_decreasing(sizes: list[int], capacity: int, most_bins: int | None = None) -> list[int] | None:
+    """Bin of each item, or ``None`` as in ``deal_runs``.  Ties go to the lower item and bin number."""
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    dealt = deal_runs([(s, len(list(g))) for s, g in groupby(sizes[i] for i in order)], capacity, most_bins)
+    if dealt is None:
+        return None
+    out, bins = [0] * len(sizes), [b for pieces in dealt for n, b in pieces for _ in range(n)]
+    for i, b in zip(order, bins, strict=True):
+        out[i] = b
+    return out
+
+
+def deal_evenly(runs: list[tuple[int, int]], bins: int) -> list[list[tuple[int, int]]]:
+    """``deal_runs`` at the least capacity (to 1/10000) that ``bins`` bins allow.
+
+    An item above the fair share of what is left has a bin alone, from the
+    last bin down, so that the others still come out even.
+    """
+    total, runs, alone = sum(s * n for s, n in runs), list(runs), {}
+    while bins > 1 and runs and runs[0][0] * bins > total:
+        size, n = runs[0]
+        bins, total = bins - 1, total - size
+        alone.setdefault(size, []).append((1, bins))
+        runs[:1] = [(size, n - 1)] if n > 1 else []
+    low = max(-(-total // bins), runs[0][0] if runs else 0)
+    step = grain = max(1, total // bins // 10_000)
+    best, high = deal_runs(runs, low, bins), low
     while best is None:
-        best = best_fit_decreasing(sizes, high, bins)
-        if best is None:
-            low, high = high + 1, high + max(1, high // 64)
-    while high - low > max(0, total // bins // 10_000):
+        low, high, step = high + 1, high + step, step * 2
+        best = deal_runs(runs, high, bins)
+    while high - low >= grain:
         middle = (low + high) // 2
-        found = best_fit_decreasing(sizes, middle, bins)
+        found = deal_runs(runs, middle, bins)
         if found is None:
             low = middle + 1
         else:
             best, high = found, middle
-    return best
+    if runs and runs[0][0] in alone:
+        best[0] = alone.pop(runs[0][0]) + best[0]
+    return [*alone.values(), *best]
 
 
 def shard(
@@ -122,9 +153,8 @@ def shard(
     shards: int = 16,
     id_col: str = "doc_id",
     text_col: str = "text",
-    fine: int = 4096,
-    bundles: int = 2048,
     rows_per_cell: int = 50_000,
+    parts: int = 4096,
 ) -> DataFrame:
     """Put every document into one of ``shards`` shards of nearly equal bytes.
 
@@ -135,6 +165,10 @@ def shard(
     fewest pieces of at most a quarter of that share.  Slots of a shard count
     from 0 without gaps.
 
+    A size that ``1/parts`` of the groups have, or a group that ``1/parts`` of
+    the rows are in, is dealt to many tasks; there are at most ``parts`` of
+    either.
+
     Defined cases: null ids are ordinary values and come first in their cell;
     repeated rows each get a slot; an empty table gives an empty result; other
     columns are not read.
@@ -146,44 +180,56 @@ def shard(
             (F.octet_length(body) + F.lit(1)).cast("long").alias("_size"),
             F.crc32(body).alias("_crc"),
             F.unhex(F.substring(F.sha2(body, 256), 1, 32)).alias("_text"),
-        ).withColumn("_bundle", F.pmod(F.xxhash64("_text"), F.lit(bundles)).cast("int")),
+        ),
         "shard",
     )
     total, count = rows.agg(F.sum("_size"), F.count("*")).first()
-    total = total or 0
-    spark = docs.sparkSession
-    limit, share = max(1, total // fine), max(1, total // shards)
-    piece = max(1, share // 4)
-    groups = rows.groupBy("_text", "_bundle").agg(F.sum("_size").alias("_bytes")).withColumn(
-        "_cut", F.when(F.col("_bytes") > share, F.ceil(F.col("_bytes") / piece)).otherwise(1).cast("int")
+    spark, share = docs.sparkSession, max(1, (total or 0) // shards)
+    # Fewer than `shards` groups can exceed a shard's share.
+    cut = settle(
+        rows.groupBy("_text")
+        .agg(F.sum("_size").alias("_bytes"))
+        .where(F.col("_bytes") > share)
+        .select("_text", F.ceil(F.col("_bytes") / max(1, share // 4)).cast("int").alias("_cut")),
+        "shard-cut",
     )
-    # At most `fine` groups can hold 1/fine of the bytes each.
-    large = settle(groups.where(F.col("_bytes") >= limit).select("_text", "_cut"), "shard-large")
-    marked = rows.join(F.broadcast(large), "_text", "left").withColumn(
+    marked = rows.join(F.broadcast(cut), "_text", "left").withColumn(
         "_part", F.pmod(F.xxhash64("_id"), F.coalesce("_cut", F.lit(1))).cast("int")
     )
-    item = [
-        F.when(F.col("_cut").isNotNull(), F.col("_text")).alias("_own"),
-        F.when(F.col("_cut").isNull(), F.col("_bundle")).otherwise(F.lit(-1)).alias("_bundle"),
-        "_part",
-    ]
-    sizes = marked.select(*item, "_size").groupBy("_own", "_bundle", "_part").agg(F.sum("_size").alias("_bytes"))
-    items = sorted(
-        ((bytes(r["_own"] or b""), r["_bundle"], r["_part"], r["_bytes"]) for r in sizes.collect()),
-        key=lambda r: (-r[3], r[:3]),
+    groups = settle(marked.groupBy("_text", "_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_n")), "shard-groups")
+    sizes = groups.groupBy("_bytes").agg(F.count("*").alias("_n")).toArrow().sort_by([("_bytes", "descending")])
+    items, runs = groups.count(), list(zip(sizes["_bytes"].to_pylist(), sizes["_n"].to_pylist(), strict=True))
+    plan, common = [], []
+    for (size, n), pieces in zip(runs, deal_evenly(runs, shards), strict=True):
+        upto = list(accumulate(k for k, _ in pieces))
+        plan.append((size, list(zip(upto, (b for _, b in pieces), strict=True))))
+        if n * parts >= items:
+            common.append((size, -(-n * parts // items)))
+    plan = spark.createDataFrame(plan, "_bytes long, _dealt array<struct<upto: long, shard: int>>")
+    common = spark.createDataFrame(common, "_bytes long, _cells long")
+    spread = groups.join(F.broadcast(common), "_bytes", "left").select(
+        "_text", "_part", "_bytes", "_n", F.pmod(F.xxhash64("_text", "_part"), F.coalesce("_cells", F.lit(1))).alias("_cell")
+    )
+    by_size = Window.partitionBy("_bytes").orderBy("_cell")
+    starts = (
+        spread.groupBy("_bytes", "_cell")
+        .agg(F.count("*").alias("_k"))
+        .select("_bytes", "_cell", (F.sum("_k").over(by_size) - F.col("_k")).alias("_start"))
+        .join(plan, "_bytes")
     )
-    bins = pack_evenly([r[3] for r in items], shards) if items else []
-    plan = spark.createDataFrame(
-        [(r[0] or None, r[1], r[2], b) for r, b in zip(items, bins, strict=True)],
-        "_own binary, _bundle int, _part int, shard int",
+    ranked = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_bytes", "_cell").orderBy("_text", "_part")))
+    homes = settle(
+        ranked.join(starts, ["_bytes", "_cell"]).select(
+            "_text",
+            "_part",
+            "_n",
+            F.filter("_dealt", lambda d: d["upto"] >= F.col("_start") + F.col("_rank"))[0]["shard"].alias("shard"),
+        ),
+        "shard-homes",
     )
     cells = max(1, -(-count // (shards * rows_per_cell)))
-    # Null-safe keys are spelled out so that the planner sees an equi-join.
-    placed = (
-        marked.select("_id", "_size", "_crc", *item)
-        .withColumn("_own", F.coalesce("_own", F.lit(b"")))
-        .join(F.broadcast(plan.withColumn("_own", F.coalesce("_own", F.lit(b"")))), ["_own", "_bundle", "_part"])
-        .select("_id", "_size", "_crc", "shard", F.pmod(F.xxhash64("_id", "_crc"), F.lit(cells)).cast("int").alias("_cell"))
+    placed = join_hot(marked, homes, ["_text", "_part"], "_n", count, parts).select(
+        "_id", "_size", "_crc", "shard", F.pmod(F.xxhash64("_id", "_crc"), F.lit(cells)).cast("int").alias("_cell")
     )
     before = (
         placed.groupBy("shard", "_cell")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.exact_dedup import exact_dedup
 from leafmill.llm.mixing import fill_targets, min_cost_flow, mix, route
-from leafmill.llm.sharding import best_fit_decreasing, pack_evenly, shard
+from leafmill.llm.sharding import best_fit_decreasing, deal_evenly, shard
 
 DOCS = "doc_id long, text string, source string, n_chars long, kept string, size int"
 
@@ -63,32 +63,64 @@ def test_empty_tables(spark):
     assert mix(empty.withColumn("sources", F.array("source"))).count() == 0
 
 
+def _one_by_one(sizes, capacity):
+    """Bin of each size, placed one by one in the tightest bin that has room."""
+    room, bins = [], [0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+        fits = [(r, b) for b, r in enumerate(room) if r >= sizes[i]]
+        if fits:
+            b = min(fits)[1]
+        else:
+            room.append(capacity)
+            b = len(room) - 1
+        room[b] -= sizes[i]
+        bins[i] = b
+    return bins
+
+
 def test_best_fit_decreasing_is_best_fit():
     rng = random.Random(3)
     for _ in range(30):
         sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 60))]
-        got = best_fit_decreasing(sizes, 50)
-        room, want = [], [0] * len(sizes)
-        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            fits = [(r, b) for b, r in enumerate(room) if r >= sizes[i]]
-            if fits:
-                b = min(fits)[1]
-            else:
-                room.append(50)
-                b = len(room) - 1
-            room[b] -= sizes[i]
-            want[i] = b
-        assert got == want
-
-
-def test_pack_evenly():
+        assert best_fit_decreasing(sizes, 50) == _one_by_one(sizes, 50)
+
+
+def test_deal_evenly():
     rng = random.Random(4)
-    sizes = [rng.randint(1, 1000) for _ in range(2000)]
-    bins = pack_evenly(sizes, 16)
+    runs = sorted(collections.Counter(rng.randint(1, 1000) for _ in range(2000)).items(), reverse=True)
     total = collections.Counter()
-    for s, b in zip(sizes, bins, strict=True):
-        total[b] += s
-    assert max(total.values()) - min(total.values()) < 0.01 * sum(sizes) / 16
+    for (size, n), pieces in zip(runs, deal_evenly(runs, 16), strict=True):
+        assert sum(k for k, _ in pieces) == n
+        for k, b in pieces:
+            total[b] += size * k
+    assert sorted(total) == list(range(16))
+    assert max(total.values()) - min(total.values()) < 0.01 * sum(total.values()) / 16
+    assert deal_evenly([], 16) == []
+    assert deal_evenly([(9, 3), (1, 2)], 5) == [[(1, 4), (1, 3), (1, 2)], [(1, 0), (1, 1)]]
+    assert deal_evenly([(9, 1)], 1) == [[(1, 0)]]
+
+
+@pytest.mark.parametrize("parts", [4096, 8])
+def test_every_group_enters_by_decreasing_size(spark, parts):
+    """With few parts, sizes and groups are both dealt as seldom ones; the shards must be those of a packing one by one."""
+    rng = random.Random(8)
+    texts = ["w" * rng.randint(0, 40) + f" {i}" for i in range(300)] + ["long " * 150, "", "same"]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    rows += [(i, t, "b") for i, t in enumerate(rng.choices(texts[:20], k=60), 1000)]
+    rows += [(2, texts[2], "a"), (2, texts[2], "a"), (None, "no id", "a"), (None, "no id", "a"), (5000, None, None)]
+    out = shard(_docs(spark, rows), rows_per_cell=9, parts=parts).collect()
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in out) == collections.Counter((i, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    size, home = collections.Counter(), collections.defaultdict(set)
+    for i, t, _ in rows:
+        size[zlib.crc32((t or "").encode())] += len(t or "") + 1
+    for r in out:
+        home[r.text_crc32].add(r.shard)
+    assert all(len(h) == 1 for h in home.values())
+    got = collections.Counter((size[g], *h) for g, h in home.items())
+    sizes = sorted(size.values(), reverse=True)
+    assert got.pop((sizes.pop(0), 15)) == 1  # the long text is above a shard's share
+    least = -(-sum(sizes) // 15)
+    assert any(collections.Counter(zip(sizes, _one_by_one(sizes, c), strict=True)) == got for c in range(least, least + least // 50))
 
 
 def test_sharding(spark):
