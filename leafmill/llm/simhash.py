@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import connected_components, settle
+from ._shared import connected_components, join_hot, settle
 from .paragraph_dedup import _verify, band_keys, shingle_hashes, tune_bands
 
 BITS = 64
@@ -181,8 +181,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_groups(rows: DataFrame, radius: int = 4) -> DataFrame:
-    """``(_fp, component_id)`` for each distinct fingerprint of ``(_id, _fp)``."""
-    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_rep")), "simhash-distinct")
+    """``(_fp, component_id, _n)`` for each distinct fingerprint of ``(_id, _fp)``, with its number of rows."""
+    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_rep"), F.count("*").alias("_n")), "simhash-distinct")
     half = radius // 2
     if half not in (0, 1, 2, 3):
         raise ValueError("radius must be from 0 to 7")
@@ -207,7 +207,7 @@ def near_groups(rows: DataFrame, radius: int = 4) -> DataFrame:
     named = comp.join(distinct, comp["node"] == distinct["_fp"])
     root = named.groupBy("component").agg(F.min("_rep").alias("component_id"))
     linked = comp.join(root, "component").select(F.col("node").alias("_fp"), "component_id")
-    return distinct.join(linked, "_fp", "left").select("_fp", F.coalesce("component_id", "_rep").alias("component_id"))
+    return distinct.join(linked, "_fp", "left").select("_fp", F.coalesce("component_id", "_rep").alias("component_id"), "_n")
 
 
 def simhash_dedup(
@@ -230,8 +230,8 @@ def simhash_dedup(
     linked; an empty table gives an empty result; other columns are not read.
     """
     rows = fingerprints(docs, id_col, text_col, shingle, seed)
-    groups = near_groups(rows, radius)
-    return rows.join(groups, "_fp").select(
+    groups = settle(near_groups(rows, radius), "simhash-groups")
+    return join_hot(rows, groups, ["_fp"], "_n", rows.count()).select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         "component_id",
