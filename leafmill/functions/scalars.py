@@ -142,3 +142,74 @@ def column_width_emu(width: Column) -> Column:
 
 def row_height_emu(points: Column) -> Column:
     return F.round(points * 12700).cast("long")
+
+
+def emu_to_points(emu: Column) -> Column:
+    return emu / 12700
+
+
+def emu_to_inches(emu: Column) -> Column:
+    return emu / 914400
+
+
+def parse_range(reference: Column) -> Column:
+    """``struct(r1, c1, r2, c2)`` of ``A1:C3``; one cell is its own end, anything else is null."""
+    cell = r"[A-Za-z]+[0-9]+"
+    ends = F.split(reference, ":")
+    first, last = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
+    made = F.struct(
+        row_number(first).alias("r1"), column_number(first).alias("c1"), row_number(last).alias("r2"), column_number(last).alias("c2")
+    )
+    return F.when(reference.rlike(rf"^{cell}(:{cell})?$"), made)
+
+
+def as_number(kind: Column, number: Column, string: Column) -> Column:
+    """A cell as a number: numbers, and strings that are one from end to end; else null."""
+    is_one = string.rlike(r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$")
+    return F.when(kind == "number", number).when((kind == "string") & is_one, string.try_cast("double"))
+
+
+def as_bool(kind: Column, number: Column, string: Column, boolean: Column) -> Column:
+    """A cell as a truth value: numbers are true unless 0; of strings only true, false, 1 and 0 count."""
+    low = F.lower(string)
+    return (
+        F.when(kind == "boolean", boolean)
+        .when(kind == "number", number != 0)
+        .when(kind == "string", F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False))
+    )
+
+
+def partial_date(text: Column) -> Column:
+    """``struct(year, month, day)`` of ``YYYY/MM/DD``, whatever of it is there; null without a year of four digits.
+
+    A month outside 1 to 12 is dropped with its day, a day outside 1 to 31 alone.
+    """
+    parts = F.split(text, "/")
+    number = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\+?[0-9]+$"), F.get(parts, F.lit(i)).try_cast("int"))
+    month = F.when(number(1).between(1, 12), number(1))
+    day = F.when(month.isNotNull() & number(2).between(1, 31), number(2))
+    year = F.get(parts, F.lit(0))
+    return F.when(year.rlike("^[0-9]{4}$"), F.struct(year.cast("int").alias("year"), month.alias("month"), day.alias("day")))
+
+
+def percent_decode(text: Column) -> Column:
+    """Bytes of a percent-encoded ASCII text; an escape that is not two hex digits is dropped.
+
+    A plus sign stays, unlike in form data.
+    """
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(%[0-9A-Fa-f]{2}|%.{0,2}|[^%]+)"), F.lit(1))
+    good = F.lit(r"^%[0-9A-Fa-f]{2}$")
+    as_hex = F.transform(
+        parts, lambda p: F.when(F.regexp_like(p, good), F.substring(p, 2, 2)).when(p.startswith("%"), F.lit("")).otherwise(F.hex(F.encode(p, "UTF-8")))
+    )
+    return F.unhex(F.array_join(as_hex, ""))
+
+
+def data_uri(uri: Column) -> Column:
+    """``struct(mime_type, data)`` of a ``data:`` address; null for others and for base64 that cannot be read."""
+    header = F.regexp_extract(uri, r"(?s)^data:([^,]*),", 1)
+    data = F.regexp_replace(uri, r"(?s)^data:[^,]*,", "")
+    packed = header.endswith(";base64")
+    mime = F.when(packed, F.regexp_replace(header, ";base64$", "")).when(header == "", "text/plain;charset=US-ASCII").otherwise(header)
+    raw = F.when(packed, F.try_to_binary(F.regexp_replace(data, "[ \\r\\n]", ""), F.lit("base64"))).otherwise(percent_decode(data))
+    return F.when(uri.rlike("(?s)^data:[^,]*,") & raw.isNotNull(), F.struct(mime.alias("mime_type"), raw.alias("data")))

@@ -189,23 +189,6 @@ def attribute_report(counts: DataFrame, total: Column) -> DataFrame:
     )
 
 
-def compare_trees(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Differences of two ``nodes`` tables by position: missing, extra, kind or content."""
-    left = a.select("doc_id", "node_id", F.col("kind").alias("kind_a"), F.col("content").alias("content_a"))
-    right = b.select("doc_id", "node_id", F.col("kind").alias("kind_b"), F.col("content").alias("content_b"))
-    return (
-        left.join(right, ["doc_id", "node_id"], "full")
-        .withColumn(
-            "difference",
-            F.when(F.col("kind_b").isNull(), "missing")
-            .when(F.col("kind_a").isNull(), "extra")
-            .when(F.col("kind_a") != F.col("kind_b"), "kind")
-            .when(~F.col("content_a").eqNullSafe(F.col("content_b")), "content"),
-        )
-        .where("difference IS NOT NULL")
-    )
-
-
 def uncommon(values: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Distinct values of ``column`` that ``known`` does not have, whatever their case."""
     folded = known.select(F.lower(column).alias("_k")).distinct()
@@ -221,3 +204,127 @@ def validation_stats(issues: DataFrame, documents: DataFrame, id_col: str = "doc
         F.count_if(~F.col("_bad")).alias("warnings_only"),
         F.count_if("_bad").alias("errors"),
     )
+
+
+def issues_by_code(issues: DataFrame) -> DataFrame:
+    """``(severity, code, n)``: how often each code of a warning or an error was raised."""
+    return issues.groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+#: Conditions of ``matching``, by feature name.
+WANTED = {"tables": "tables", "images": "images", "hyperlinks": "links", "lists": "lists"}
+
+
+def matching(
+    features: DataFrame,
+    cases: DataFrame | None = None,
+    most_paragraphs: int | None = None,
+    has: tuple[str, ...] = (),
+    min_severity: str | None = None,
+    case_types: tuple[str, ...] = (),
+    id_col: str = "doc_id",
+) -> DataFrame:
+    """Rows of ``features`` that meet every condition given; without conditions all of them.
+
+    ``has`` names features of ``WANTED``; any one of ``case_types`` is enough.
+    """
+    out = features
+    if most_paragraphs is not None:
+        out = out.where(F.col("paragraphs") <= most_paragraphs)
+    for name in has:
+        out = out.where(F.col(WANTED[name]) > 0)
+    for held in (
+        None if min_severity is None else F.col("severity_rank") >= EDGE_SEVERITIES.index(min_severity),
+        F.col("case_type").isin(*case_types) if case_types else None,
+    ):
+        if held is not None:
+            out = out.join(cases.where(held).select(id_col), id_col, "left_semi")
+    return out
+
+
+def preset(name: str) -> dict:
+    """Arguments of ``matching``: ``interesting``, ``minimal``, or a feature; an unknown feature filters nothing."""
+    if name == "interesting":
+        return {"min_severity": "unusual"}
+    if name == "minimal":
+        return {"most_paragraphs": 50}
+    return {"has": (name,)} if name in WANTED else {}
+
+
+def feature_totals(features: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with ``max_<c>`` and ``sum_<c>`` of each column."""
+    return features.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("max", F.max), ("sum", F.sum))])
+
+
+def distribution(rows: DataFrame, column: str, id_col: str = "doc_id") -> DataFrame:
+    """``(value, n_docs)``: in how many documents each value stands."""
+    return rows.groupBy(F.col(column).alias("value")).agg(F.countDistinct(id_col).alias("n_docs"))
+
+
+def element_coverage(seen: DataFrame, known: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(element, known, n, n_docs, pct)`` of all elements seen or known.
+
+    ``seen`` has a row per occurrence, ``known`` one per element; ``pct`` is the
+    share of documents, 0 where there are none.  Missing elements are known
+    ones with ``n`` 0; unknown ones are those seen but not known.
+    """
+    counts = seen.groupBy("element").agg(F.count("*").alias("n"), F.countDistinct(id_col).alias("n_docs"))
+    total = seen.agg(F.countDistinct(id_col)).scalar()
+    listed = known.select("element").distinct().withColumn("known", F.lit(True))
+    joined = counts.join(listed, "element", "full").na.fill(0, ["n", "n_docs"]).na.fill(False, ["known"])
+    pct = F.round(F.coalesce(F.try_divide(F.col("n_docs") * 100.0, total), F.lit(0.0)), 6).alias("pct")
+    return joined.select("element", "known", "n", "n_docs", pct)
+
+
+def coverage_share(coverage: DataFrame) -> DataFrame:
+    """``(found, known, pct)`` of an ``element_coverage``; null where nothing is known."""
+    found = F.count_if(F.col("known") & (F.col("n") > 0))
+    return coverage.agg(
+        found.alias("found"), F.count_if("known").alias("known"), F.round(F.try_divide(found * 100.0, F.count_if("known")), 6).alias("pct")
+    )
+
+
+def merge_counts(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Sums by ``keys`` of the number columns of count tables; partial sums merge in any order."""
+    all_rows = tables[0]
+    for t in tables[1:]:
+        all_rows = all_rows.unionByName(t, allowMissingColumns=True)
+    numbers = [c for c in all_rows.columns if c not in keys]
+    return all_rows.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers])
+
+
+def corpora(store: DataFrame) -> DataFrame:
+    return store.select("corpus").distinct()
+
+
+def without_corpus(store: DataFrame, corpus: str) -> DataFrame:
+    """The store without a corpus; rows of no corpus stay."""
+    return store.where(~F.col("corpus").eqNullSafe(F.lit(corpus)))
+
+
+def failures(store: DataFrame, corpus: str | None = None, category: str | None = None) -> DataFrame:
+    """Failed documents, of one corpus or one category if given."""
+    out = store.where(~F.col("parse_success"))
+    out = out if corpus is None else out.where(F.col("corpus") == corpus)
+    return out if category is None else out.where(F.col("error_category") == category)
+
+
+def failures_by_category(store: DataFrame) -> DataFrame:
+    return failures(store).groupBy("error_category").agg(F.count("*").alias("n"))
+
+
+def lookup(store: DataFrame, path: str, corpus: str) -> DataFrame:
+    """The row of one document, or none; both conditions reach the scan."""
+    return store.where((F.col("path") == path) & (F.col("corpus") == corpus))
+
+
+def first_files(files: DataFrame, n: int, order: str = "path") -> DataFrame:
+    """The first ``n`` files by name, before any is parsed."""
+    return files.orderBy(order).limit(n)
+
+
+def mode_size(sizes: DataFrame, column: str) -> DataFrame:
+    """``(mode_size, n)``: the commonest size, in half points; of ties the smallest."""
+    half = F.round(F.col(column) * 2).cast("long").alias("half")
+    counts = sizes.groupBy(half).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.col("n").desc(), "half").limit(1).select((F.col("half") / 2.0).alias("mode_size"), "n")

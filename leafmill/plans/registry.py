@@ -14,7 +14,9 @@ from ..functions import scalars as S
 from ..operators import corpus as C
 from ..operators import documents as D
 from ..operators import segments as G
+from ..operators import sheets as H
 from ..operators import transforms as T
+from ..operators import trees as R
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -181,10 +183,51 @@ def node_ancestors(spark, d):
     return pairs.groupBy("doc_id", "ancestor_kind").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH k AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS k, role, text FROM conversations),
+       h AS (SELECT conv_id AS doc_id, '/heading[' || (k + 1) || ']' AS path, 'attribute_changed' AS difference, 'level' AS attribute,
+                    (k % 6 + 1)::VARCHAR AS before, least(6, k % 6 + 2)::VARCHAR AS after FROM k WHERE k % 6 < 5),
+       m AS (SELECT conv_id AS doc_id, '/div[' || (k + 1) || ']' AS top, role, text FROM k)
+       SELECT * FROM h UNION ALL SELECT doc_id, top || '/text[1]', 'text_changed', NULL, role, role || ': ' || coalesce(text, '') FROM m
+       UNION ALL SELECT doc_id, top || '/text[2]', 'missing_element', NULL, NULL, NULL FROM m
+       UNION ALL SELECT doc_id, top || '/text[3]', 'missing_element', NULL, NULL, NULL FROM m"""
+)
 def compare_trees(spark, d):
     nodes = D.turn_nodes(_t(spark, d, "conversations"))
-    return C.compare_trees(nodes, T.merge_text(nodes)).groupBy("difference").agg(F.count("*").alias("n"))
+    return R.compare_trees(nodes, T.merge_text(T.shift_headings(nodes, 1)))
+
+
+@query(
+    """SELECT conv_id AS doc_id, text AS content FROM
+       (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k = 1"""
+)
+def node_at_place(spark, d):
+    return R.at_place(D.turn_nodes(_t(spark, d, "conversations")), "/1/2").select("doc_id", "content")
+
+
+@query(
+    """WITH k AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) % 6 + 1 AS level FROM conversations)
+       SELECT conv_id AS doc_id, level::BIGINT AS level, NULL::VARCHAR AS as_text, true AS has_level, true AS marked, false AS left_over, count(*) AS n FROM k GROUP BY ALL"""
+)
+def node_properties(spark, d):
+    nodes = D.turn_nodes(_t(spark, d, "conversations"))
+    heads = R.update_nodes(nodes, F.col("kind") == "heading", props=R.set_prop(F.col("props"), "marked", F.lit(True))).where("kind = 'heading'")
+    p = F.col("props")
+    return heads.groupBy(
+        "doc_id",
+        R.get_prop(p, "level", "long").alias("level"),
+        R.get_prop(p, "level", "string").alias("as_text"),
+        R.has_prop(p, "level").alias("has_level"),
+        R.get_prop(p, "marked", "boolean").alias("marked"),
+        R.has_prop(R.remove_prop(p, "marked"), "marked").alias("left_over"),
+    ).agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT conv_id AS doc_id, string_agg(role || role || ': ' || coalesce(text, ''), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"""
+)
+def tree_text(spark, d):
+    return R.node_texts(D.turn_nodes(_t(spark, d, "conversations")))
 
 
 # -- words --------------------------------------------------------------------
@@ -276,14 +319,12 @@ def feature_prevalence(spark, d):
         max(tables) AS max_tables, sum(tables)::BIGINT AS sum_tables, max(links) AS max_links, sum(links)::BIGINT AS sum_links FROM f"""
 )
 def feature_extremes(spark, d):
-    return _features(spark, d).agg(
-        *[f(c).alias(f"{n}_{c}") for c in ("paragraphs", "tables", "links") for n, f in (("max", F.max), ("sum", F.sum))]
-    )
+    return C.feature_totals(_features(spark, d), ["paragraphs", "tables", "links"])
 
 
 @query("SELECT lang AS value, count(DISTINCT doc_id) AS n_docs FROM documents GROUP BY lang")
 def value_distribution(spark, d):
-    return _t(spark, d, "documents").groupBy(F.col("lang").alias("value")).agg(F.countDistinct("doc_id").alias("n_docs"))
+    return C.distribution(_t(spark, d, "documents"), "lang")
 
 
 @query(_CASES + " SELECT case_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM e GROUP BY case_type")
@@ -315,13 +356,14 @@ def interest_reason(spark, d):
 
 @query(
     _CASES
-    + """ SELECT f.doc_id, f.paragraphs FROM f WHERE f.paragraphs <= 50 AND f.styles > 0
-        AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = f.doc_id AND severity_rank >= 2)"""
+    + """ SELECT f.doc_id, f.paragraphs FROM f WHERE f.paragraphs <= 50 AND f.tables > 0
+        AND EXISTS (SELECT 1 FROM e WHERE e.doc_id = f.doc_id AND severity_rank >= 2)
+        AND EXISTS (SELECT 1 FROM e WHERE e.doc_id = f.doc_id AND case_type IN ('many_tables', 'many_styles'))"""
 )
 def fixture_criteria(spark, d):
     f = _features(spark, d)
-    loud = C.edge_cases(f).where("severity_rank >= 2").select("doc_id").distinct()
-    return f.where("paragraphs <= 50 AND styles > 0").join(loud, "doc_id", "left_anti").select("doc_id", "paragraphs")
+    wanted = {**C.preset("minimal"), **C.preset("interesting"), **C.preset("tables"), "case_types": ("many_tables", "many_styles")}
+    return C.matching(f, C.edge_cases(f), **wanted).select("doc_id", "paragraphs")
 
 
 def _store(spark, d) -> DataFrame:
@@ -351,13 +393,23 @@ def corpus_stats(spark, d):
 
 @query(f"WITH s AS ({_STORE}) SELECT error_category, count(*) AS n FROM s WHERE NOT parse_success GROUP BY error_category")
 def error_breakdown(spark, d):
-    failed = _store(spark, d).where("NOT parse_success")
-    return failed.groupBy(C.error_category(F.col("error_message")).alias("error_category")).agg(F.count("*").alias("n"))
+    return C.failures_by_category(_store(spark, d).withColumn("error_category", C.error_category(F.col("error_message"))))
+
+
+@query(f"WITH s AS ({_STORE}) SELECT doc_id FROM s WHERE NOT parse_success AND corpus = 'src0' AND error_category = 'zip_corruption'")
+def corpus_failures(spark, d):
+    store = _store(spark, d).withColumn("error_category", C.error_category(F.col("error_message")))
+    return C.failures(store, "src0", "zip_corruption").select("doc_id")
+
+
+@query("SELECT url FROM pages ORDER BY url LIMIT 5")
+def first_files(spark, d):
+    return C.first_files(_t(spark, d, "pages").select("url"), 5, "url")
 
 
 @query("SELECT DISTINCT source AS corpus FROM documents")
 def list_corpora(spark, d):
-    return _store(spark, d).select("corpus").distinct().orderBy("corpus")
+    return C.corpora(_store(spark, d)).orderBy("corpus")
 
 
 @query(
@@ -376,7 +428,7 @@ def corpus_upsert(spark, d):
 
 @query(f"WITH s AS ({_STORE}) SELECT path, parse_success FROM s WHERE corpus <> 'src3'")
 def corpus_delete(spark, d):
-    return _store(spark, d).where("corpus <> 'src3'").select("path", "parse_success")
+    return C.without_corpus(_store(spark, d), "src3").select("path", "parse_success")
 
 
 @query(
@@ -389,22 +441,61 @@ def attribute_report(spark, d):
     return C.attribute_report(counts.withColumn("_t", F.sum("n").over(Window.partitionBy())), F.col("_t"))
 
 
+_SEEN = """WITH seen AS (SELECT event_type AS element, user_id AS doc_id FROM events),
+    known AS (SELECT unnest(['click', 'view', 'never', 'nowhere']) AS element),
+    c AS (SELECT coalesce(s.element, k.element) AS element, k.element IS NOT NULL AS known, coalesce(n, 0) AS n, coalesce(n_docs, 0) AS n_docs
+          FROM (SELECT element, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM seen GROUP BY element) s FULL JOIN known k ON s.element = k.element)"""
+
+
+def _coverage(spark, d):
+    known = spark.createDataFrame([("click",), ("view",), ("never",), ("nowhere",)], "element string")
+    seen = _t(spark, d, "events").select(F.col("event_type").alias("element"), F.col("user_id").alias("doc_id"))
+    return C.element_coverage(seen, known)
+
+
+@query(_SEEN + " SELECT element, known, n, n_docs, round(n_docs * 100.0::DOUBLE / (SELECT count(DISTINCT doc_id) FROM seen), 6) AS pct FROM c")
+def element_coverage(spark, d):
+    return _coverage(spark, d)
+
+
+@query(_SEEN + " SELECT element FROM c WHERE known AND n = 0")
+def coverage_missing(spark, d):
+    return _coverage(spark, d).where("known AND n = 0").select("element")
+
+
+@query(_SEEN + " SELECT element, n, n_docs FROM c WHERE NOT known")
+def coverage_unknown(spark, d):
+    return _coverage(spark, d).where("NOT known").select("element", "n", "n_docs")
+
+
 @query(
-    """SELECT n_nationkey AS known FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 10)"""
+    _SEEN
+    + """ SELECT count(*) FILTER (WHERE known AND n > 0) AS found, count(*) FILTER (WHERE known) AS known,
+        round(count(*) FILTER (WHERE known AND n > 0) * 100.0::DOUBLE / count(*) FILTER (WHERE known), 6) AS pct FROM c"""
 )
-def coverage_missing(spark, d):
-    known, seen = _t(spark, d, "nation"), _t(spark, d, "supplier").where("s_suppkey <= 10")
-    return known.join(seen, known["n_nationkey"] == seen["s_nationkey"], "left_anti").select(F.col("n_nationkey").alias("known"))
+def coverage_share(spark, d):
+    return C.coverage_share(_coverage(spark, d))
 
 
 @query(
-    """SELECT event_type AS element, count(*) AS n, count(DISTINCT user_id) AS n_docs FROM events
-       WHERE event_type NOT IN ('click', 'view') GROUP BY event_type"""
+    """SELECT o_orderpriority AS name, count(*) AS rows, count(*) FILTER (WHERE o_orderstatus = 'F') AS formulas
+       FROM orders GROUP BY o_orderpriority"""
 )
-def coverage_unknown(spark, d):
-    known = spark.createDataFrame([("click",), ("view",)], "event_type string")
-    seen = _t(spark, d, "events").join(F.broadcast(known), "event_type", "left_anti")
-    return seen.groupBy(F.col("event_type").alias("element")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_docs"))
+def merged_attributes(spark, d):
+    orders = _t(spark, d, "orders").withColumn("name", F.col("o_orderpriority"))
+    part = lambda rows: rows.groupBy("name").agg(F.count("*").alias("rows"), F.count_if(F.col("o_orderstatus") == "F").alias("formulas"))
+    half = F.pmod(F.col("o_orderkey"), F.lit(2))
+    return C.merge_counts([part(orders.where(half == 0)), part(orders.where(half == 1))], ["name"])
+
+
+@query(
+    """SELECT CASE WHEN toxic = 1 THEN 'error' ELSE 'warning' END AS severity, 'Q' || quality AS code, count(*) AS n FROM labels GROUP BY ALL"""
+)
+def issues_by_code(spark, d):
+    issues = _t(spark, d, "labels").select(
+        F.when(F.col("toxic") == 1, "error").otherwise("warning").alias("severity"), F.concat(F.lit("Q"), F.col("quality")).alias("code")
+    )
+    return C.issues_by_code(issues)
 
 
 @query("SELECT DISTINCT p_type AS style FROM part WHERE p_brand NOT IN (SELECT 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 5 + 1) FROM supplier)")
@@ -420,9 +511,7 @@ def unresolved_refs(spark, d):
        SELECT half / 2.0::DOUBLE AS mode_size, n FROM m ORDER BY n DESC, half LIMIT 1"""
 )
 def body_text_mode_size(spark, d):
-    half = F.round(F.col("s_acctbal") * 2).cast("long").alias("half")
-    counts = _t(spark, d, "supplier").groupBy(half).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.col("n").desc(), "half").limit(1).select((F.col("half") / 2.0).alias("mode_size"), "n")
+    return C.mode_size(_t(spark, d, "supplier"), "s_acctbal")
 
 
 # -- scalars ------------------------------------------------------------------
@@ -514,27 +603,83 @@ def pdf_heading_level(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT n_nationkey AS id, n_regionkey AS top, n_regionkey + n_nationkey % 3 AS bottom FROM nation)
-       SELECT p_partkey, min(id) AS width_id FROM (SELECT p_partkey, p_size % 7 AS c FROM part) p JOIN r ON c BETWEEN top AND bottom GROUP BY p_partkey"""
+    """WITH r AS (SELECT n_nationkey AS id, n_regionkey AS first, n_regionkey + n_nationkey % 3 AS last FROM nation)
+       SELECT p_partkey, min(id) AS width_id FROM (SELECT p_partkey, p_size % 9 AS c FROM part) p LEFT JOIN r ON c BETWEEN first AND last GROUP BY p_partkey"""
 )
 def column_width_lookup(spark, d):
-    ranges = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.explode(F.sequence("n_regionkey", F.col("n_regionkey") + F.col("n_nationkey") % 3)).alias("c"))
-    cols = _t(spark, d, "part").select("p_partkey", (F.col("p_size") % 7).alias("c"))
-    # Ranges of columns are short: written out, the range join is an equi-join.
-    return cols.join(ranges.groupBy("c").agg(F.min("id").alias("width_id")), "c").select("p_partkey", "width_id")
+    ranges = _t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("first"), (F.col("n_regionkey") + F.col("n_nationkey") % 3).alias("last"))
+    cols = _t(spark, d, "part").select("p_partkey", (F.col("p_size") % 9).alias("c"))
+    return H.with_widths(cols, ranges, "c").select("p_partkey", "width_id")
 
 
-@query("SELECT c_custkey, coalesce(n_name, 'Error: #REF!') AS shown FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON c_nationkey = n_nationkey")
+@query("SELECT o_orderkey, coalesce(c_name, 'Error: #REF!') AS shown FROM orders LEFT JOIN customer ON o_custkey % 2000 = c_custkey")
 def shared_strings(spark, d):
-    strings = _t(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return _t(spark, d, "customer").join(strings, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("Error: #REF!")).alias("shown"))
+    cells = _t(spark, d, "orders").withColumn("at", F.col("o_custkey") % 2000)
+    return H.with_shared_strings(cells, _t(spark, d, "customer"), "at", "c_custkey", "c_name").select("o_orderkey", "shown")
 
 
-@query("SELECT n_nationkey, n_regionkey AS r1, n_nationkey AS c1, CASE WHEN n_nationkey % 4 = 0 THEN 2 END AS row_span FROM nation")
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size % 3 + 1 END AS row_span, CASE WHEN p_size % 4 = 0 THEN 2 END AS col_span FROM part"""
+)
 def merged_range_cells(spark, d):
-    cells = _t(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r1"), F.col("n_nationkey").alias("c1"))
-    merges = cells.where("n_nationkey % 4 = 0").select("r1", "c1", F.lit(2).alias("row_span"))
-    return cells.join(merges, ["r1", "c1"], "left").select("n_nationkey", "r1", "c1", "row_span")
+    cells = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") + 1).alias("row"), F.col("p_size").alias("col"))
+    merges = cells.where("col % 4 = 0").select(F.col("row").alias("r1"), F.col("col").alias("c1"), (F.col("row") + F.col("col") % 3).alias("r2"), (F.col("col") + 1).alias("c2"))
+    return H.with_merges(cells, merges).select("p_partkey", "row_span", "col_span")
+
+
+@query(
+    """SELECT p_brand AS sheet, min(p_partkey) AS min_row, max(p_partkey) AS max_row, min(p_size) AS min_col, max(p_size) AS max_col FROM part GROUP BY p_brand"""
+)
+def sheet_dimensions(spark, d):
+    cells = _t(spark, d, "part").select(F.col("p_brand").alias("sheet"), F.col("p_partkey").alias("row"), F.col("p_size").alias("col"))
+    return H.dimensions(cells, ["sheet"])
+
+
+@query(
+    """WITH r AS (SELECT n_nationkey AS rule, n_nationkey * 40 AS r1, n_nationkey * 40 + 130 AS r2, n_regionkey * 5 AS c1, n_regionkey * 5 + 20 AS c2 FROM nation)
+       SELECT p_partkey, rule FROM part JOIN r ON p_partkey BETWEEN r1 AND r2 AND p_size BETWEEN c1 AND c2"""
+)
+def rules_of_cells(spark, d):
+    n, g = F.col("n_nationkey"), F.col("n_regionkey")
+    rules = _t(spark, d, "nation").select(n.alias("rule"), (n * 40).alias("r1"), (n * 40 + 130).alias("r2"), (g * 5).alias("c1"), (g * 5 + 20).alias("c2"))
+    cells = _t(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("row"), F.col("p_size").alias("col"))
+    return H.rules_at(cells, rules).select("p_partkey", "rule")
+
+
+@query(
+    """SELECT s_suppkey, coalesce(own.r, everywhere.r) AS refers_to FROM (SELECT s_suppkey, s_nationkey AS name, s_suppkey % 5 AS sheet FROM supplier) u
+       LEFT JOIN (SELECT n_nationkey AS name, n_regionkey AS sheet, n_name AS r FROM nation WHERE n_nationkey % 2 = 0) own ON own.name = u.name AND own.sheet = u.sheet
+       LEFT JOIN (SELECT n_nationkey AS name, 'all ' || n_name AS r FROM nation WHERE n_nationkey % 3 = 0) everywhere ON everywhere.name = u.name"""
+)
+def defined_names(spark, d):
+    nation = _t(spark, d, "nation").withColumn("name", F.concat(F.lit("Name"), F.col("n_nationkey")))
+    own = nation.where("n_nationkey % 2 = 0").select("name", F.col("n_regionkey").cast("long").alias("sheet"), F.col("n_name").alias("refers_to"))
+    common = nation.where("n_nationkey % 3 = 0").select("name", F.lit(None).cast("long").alias("sheet"), F.concat(F.lit("all "), "n_name").alias("refers_to"))
+    uses = _t(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("NAME"), "s_nationkey").alias("name"), (F.col("s_suppkey") % 5).cast("long").alias("sheet"))
+    return H.resolve_names(uses, own.unionByName(common)).select("s_suppkey", "refers_to")
+
+
+@query("SELECT p_partkey, (p_partkey % 900 + 1)::INT AS r1, (p_size + 1)::INT AS c1, (p_partkey % 900 + p_size)::INT AS r2, (p_size * 2)::INT AS c2 FROM part")
+def parse_range(spark, d):
+    at = lambda row, col: F.concat(S.column_letter(col), row.cast("string"))
+    k, z = F.col("p_partkey"), F.col("p_size")
+    ref = F.concat(at(k % 900 + 1, z + 1), F.lit(":"), at(k % 900 + z, z * 2))
+    return _t(spark, d, "part").select("p_partkey", S.parse_range(ref).alias("r")).select("p_partkey", "r.*")
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, CASE WHEN o_orderkey % 3 > 0 THEN day(o_orderdate)::INT END AS day FROM orders")
+def partial_date(spark, d):
+    shown = F.when(F.col("o_orderkey") % 3 > 0, F.date_format("o_orderdate", "yyyy/MM/dd/'spring'")).otherwise(F.date_format("o_orderdate", "yyyy/MM/32"))
+    return _t(spark, d, "orders").select("o_orderkey", S.partial_date(shown).alias("p")).select("o_orderkey", "p.*")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' ELSE 'text/plain;charset=US-ASCII' END AS mime_type, coalesce(text, '') AS text FROM documents")
+def data_uri(spark, d):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    escaped = F.regexp_replace(F.url_encode(text), r"\+", "%20")
+    uri = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode(text, "UTF-8")))).otherwise(F.concat(F.lit("data:,"), escaped))
+    found = _t(spark, d, "documents").select("doc_id", S.data_uri(uri).alias("u"))
+    return found.select("doc_id", "u.mime_type", F.decode("u.data", "UTF-8").alias("text"))
 
 
 @query(
@@ -542,8 +687,8 @@ def merged_range_cells(spark, d):
        FROM lineitem GROUP BY l_returnflag"""
 )
 def pivot_table(spark, d):
-    p = _t(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["O", "F"]).agg(F.sum("l_quantity"))
-    return p.select("l_returnflag", *[F.coalesce(k, F.lit(0)).cast("long").alias(k.lower()) for k in ("O", "F")])
+    p = H.pivot(_t(spark, d, "lineitem"), "l_returnflag", "l_linestatus", ["O", "F"], "l_quantity")
+    return p.select("l_returnflag", *[F.col(k).cast("long").alias(k.lower()) for k in ("O", "F")])
 
 
 # -- windows -------------------------------------------------------------------
