@@ -21,7 +21,6 @@ def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    candidates: int = 512,
     tracked: int = 8192,
     heavy: int = 64,
 ) -> DataFrame:
@@ -37,9 +36,10 @@ def exact_dedup(
     and are flagged alike; an empty table gives an empty result; other
     columns are not read.
 
-    ``candidates`` digests are taken from a sketch of ``tracked`` counters, so
-    any digest with more than ``1/tracked`` of the rows is found; those with
-    at least ``heavy`` rows are broadcast.
+    A sketch of ``tracked`` counters finds every digest with more than
+    ``1/tracked`` of the rows.  Those with at least ``heavy`` rows are
+    broadcast, ``tracked`` rows at most; no other digest can hold more than
+    that share, so no task of the shuffle does.
     """
     digest = F.sha2(fold_case(F.col(text_col)).cast("binary"), 256)
     rows = settle(
@@ -48,7 +48,7 @@ def exact_dedup(
         ),
         "exact",
     )
-    likely = rows.agg(F.expr(f"approx_top_k(_key, {candidates}, {tracked})").alias("_top")).select(
+    likely = rows.agg(F.expr(f"approx_top_k(_key, {tracked}, {tracked})").alias("_top")).select(
         F.explode(F.col("_top.item")).alias("_key")
     )
     winners = settle(
@@ -57,7 +57,7 @@ def exact_dedup(
         .agg(F.max("_id").alias("_keep"), F.count("*").alias("_n"))
         .where(F.col("_n") >= heavy)
         .orderBy(F.col("_n").desc(), "_digest")
-        .limit(candidates),
+        .limit(tracked),
         "exact-winners",
     )
     small = F.broadcast(winners)

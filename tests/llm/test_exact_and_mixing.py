@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -51,6 +52,15 @@ def test_exact_dedup_heavy_hitters_and_null_ids(spark):
     assert {r.group_size for r in got if r.keep_id == 299} == {300}
 
 
+def test_exact_dedup_of_many_frequent_texts(spark):
+    """More frequent texts than the sketch has counters: the rest goes by the shuffle, nothing is lost."""
+    rows = [(i, f"t{i % 40}", "a") for i in range(1200)]
+    want = {(i, 1160 + i % 40, 30, i >= 1160) for i in range(1200)}
+    for tracked in (8, 8192):
+        got = exact_dedup(_docs(spark, rows), tracked=tracked, heavy=10).collect()
+        assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == want and len(got) == 1200
+
+
 def test_exact_dedup_plan_has_no_python(spark):
     df = exact_dedup(_docs(spark, ROWS))
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
@@ -163,6 +173,42 @@ def test_overlapping_sources_share_words():
     assert sum(got) == 210 and got[2] <= 30
 
 
+def _level(sizes, weights, most):
+    """Targets by bisection of the common level that weights are multiplied by."""
+    low, high = 0.0, float(most * sum(sizes) + 1)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most * s, mid * w) for s, w in zip(sizes, weights, strict=True)) < sum(sizes) else (low, mid)
+    return [min(most * s, high * w) for s, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets_equal_a_common_level():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(1, 8)
+        sizes = [rng.choice([0, 1, 50, 1000, 30_000]) for _ in range(n)]
+        weights = [(1, 2, 3)[i % 3] for i in range(n)]
+        assert fill_targets(sizes, weights) == pytest.approx(_level(sizes, weights, 3.0), rel=1e-6, abs=1e-6)
+
+
+def _cost(total, size):
+    return sum((k // size) ** 2 for k in range(total))
+
+
+def test_routes_are_cheapest_among_all():
+    rng = random.Random(10)
+    for _ in range(25):
+        a, b, c = (rng.randint(1, 3) for _ in range(3))
+        targets = [rng.randint(0, 9), rng.randint(0, 9)]
+        best = None
+        for x, y, z, w in itertools.product(range(3 * a + 1), range(3 * b + 1), range(3 * b + 1), range(3 * c + 1)):
+            if y + z <= 3 * b and x + y <= targets[0] and z + w <= targets[1]:
+                found = (-(x + y + z + w), _cost(x, a) + _cost(y + z, b) + _cost(w, c))
+                best = found if best is None else min(best, found)
+        got = route([((0,), a), ((0, 1), b), ((1,), c)], [float(t) for t in targets])
+        assert (-sum(got), sum(_cost(t, n) for t, n in zip(got, (a, b, c), strict=True))) == best
+
+
 def test_mix(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "b", "c", None])) for i in range(800)]

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import zlib
 
 import numpy as np
@@ -169,3 +170,50 @@ def test_license_scan(spark):
     plan = license_scan(_docs(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert license_scan(_docs(spark, [])).count() == 0
+
+
+def _shingles(text):
+    w = re.findall("[a-z0-9]+", (text or "").lower())
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+
+def test_license_scan_against_every_window(spark):
+    """Containment of every template in every window, counted one by one and without bands."""
+    rng = random.Random(11)
+    texts = [TEMPLATES[n].split() for n in sorted(TEMPLATES)]
+    rows = [(0, None), (1, ""), (None, " ".join(texts[0]))]
+    for i in range(2, 60):
+        words = rng.choices(["copy", "work", "the", "of", "license", "zq"], k=rng.randint(0, 120))
+        for t in rng.sample(texts, rng.randint(0, 3)):
+            part = [w if rng.random() > 0.02 else "zq" for w in t[rng.randint(0, 2) :]]
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        rows.append((i, " ".join(words)))
+    rows += [rows[5], rows[5], (6, rows[9][1])]  # repeated rows, and two texts of one id
+    templates = {n: set(_shingles(t)) for n, t in TEMPLATES.items() if _shingles(t)}
+    want = {}
+    for i, t in rows:
+        h = _shingles(t)
+        for name, held in templates.items():
+            size = max(4, 1 << (len(held) - 1).bit_length())
+            for start in range(0, max(1, len(h) - size // 2), size // 2):
+                window = h[start : start + size + size // 2]
+                share = len(held & set(window)) / len(held)
+                if share >= 0.8:
+                    found = (share, -start, -(len(window) + 4))
+                    want[i, name] = max(want.get((i, name), found), found)
+    got = {(r.doc_id, r.license): (r.containment, -r.first_word, -r.n_words) for r in license_scan(_docs(spark, rows)).collect()}
+    assert got == {k: (round(v[0], 6), v[1], v[2]) for k, v in want.items()} and len(want) > 40
+
+
+def test_toxicity_of_repeated_null_and_long_rows(spark):
+    rows, labels = _corpus(300, 12)
+    odd = [(None, "scoundrel"), (None, None), (7, rows[7][1]), (7, "another text"), (900, "calm " * 60_000), (901, "")]
+    lab = spark.createDataFrame([*labels, (3, 0, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
+    out = tox.toxicity(_docs(spark, rows + odd), lab).collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(i for i, _ in rows + odd)
+    assert all(0 <= r.p_toxic <= 1 for r in out)
+    again = tox.toxicity(_docs(spark, rows + odd).repartition(5), lab).collect()
+    key = lambda found: sorted((r.doc_id is None, r.doc_id or 0, r.p_toxic) for r in found)
+    assert [k[:2] for k in key(out)] == [k[:2] for k in key(again)]
+    assert [k[2] for k in key(out)] == pytest.approx([k[2] for k in key(again)])
