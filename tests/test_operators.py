@@ -127,7 +127,7 @@ def test_edge_case_ladders(spark):
     assert got == {(2, "many_paragraphs", "noteworthy"), (3, "many_paragraphs", "rare"), (3, "many_tables", "rare")}
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) & {"strip_empty", "merge_text", "doc_word_counts", "corpus_upsert", "conv_toc", "word_coverage", "column_letter"}))
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) & {"strip_empty", "merge_text", "doc_word_counts", "corpus_upsert", "conv_toc", "word_coverage", "column_letter", "compare_trees", "node_properties", "data_uri", "parse_range", "fixture_criteria"}))
 def test_registered_queries_match_their_twins(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path
