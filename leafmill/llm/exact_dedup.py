@@ -36,10 +36,10 @@ def exact_dedup(
     and are flagged alike; an empty table gives an empty result; other
     columns are not read.
 
-    A sketch of ``tracked`` counters finds every digest with more than
-    ``1/tracked`` of the rows.  Those with at least ``heavy`` rows are
-    broadcast, ``tracked`` rows at most; no other digest can hold more than
-    that share, so no task of the shuffle does.
+    A sketch of ``tracked`` counters finds every digest whose share of the
+    rows is above its error, a small multiple of ``1/tracked``.  Those with
+    at least ``heavy`` rows are broadcast, ``tracked`` rows at most; the
+    others, of a lesser share each, are shuffled.
     """
     digest = F.sha2(fold_case(F.col(text_col)).cast("binary"), 256)
     rows = settle(
