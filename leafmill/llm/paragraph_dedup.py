@@ -10,6 +10,11 @@ neighbouring anchors one gives way).  Paragraphs overlap.
 The first and the last ``length`` words of a text are paragraphs too, and so is
 a whole text of fewer words.
 
+Where two paragraphs stand apart, words between them would never be looked at.
+With ``cover`` such a gap is filled by further paragraphs, evenly spaced from
+one anchor to the next and so as content-defined as these, and every word of
+every text lies in a paragraph.
+
 Equal paragraphs (words lower-cased in A-Z and joined by one space) are one
 text; the texts' five-word shingles are minhashed and banded.  Texts that
 share a band bucket are verified by exact Jaccard similarity, verified links
@@ -46,6 +51,8 @@ APART = 1
 RUN, RUN_LEAST = 10, 10 / 12
 #: Words from which on a text is banded by runs.
 RUNS_FROM = 17
+#: 96 bits of a paragraph's XXH3.
+DIGEST = ["_digest", "_more"]
 
 
 def tune_bands(threshold: float, recall: float = 0.999, rows: int = 2) -> tuple[int, int]:
@@ -144,12 +151,23 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     return found[~gone]
 
 
-def cut(text: bytes, window: int, length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def fill(places: np.ndarray, length: int) -> np.ndarray:
+    """The places with the fewest others between them that leave no step above ``length``, evenly spaced."""
+    gap = np.diff(places)
+    more = (gap - 1) // length
+    by = np.repeat(np.arange(len(gap)), more)
+    nth = np.arange(1, len(by) + 1) - (np.cumsum(more) - more)[by]
+    return np.sort(np.concatenate([places, places[by] + gap[by] * nth // (more[by] + 1)]))
+
+
+def cut(text: bytes, window: int, length: int, cover: bool = False) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The paragraphs of a lower-cased text, slab by slab.
 
     Gives the slab's words joined by one space; of each paragraph the first
     word in the slab, and its start and end among those joined words and in the
-    text, in bytes; and the hashes of the slab's shingles.
+    text, in bytes; and the hashes of the slab's shingles.  With ``cover``
+    every word lies in a paragraph: gaps are filled, and a paragraph that
+    leaves out ``APART`` words or fewer at an end of the text takes them in.
     """
     raw = np.frombuffer(text, np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -158,25 +176,34 @@ def cut(text: bytes, window: int, length: int) -> Iterator[tuple[bytes, np.ndarr
     n = len(starts)
     if not n:
         return
-    length = min(n, length)
+    # Two paragraphs of a text hardly longer than one would be near copies of each other, so it is one.
+    length = n if n <= length + (APART if cover else 0) else length
     # Anchors from `done` on are still to come; slabs overlap by what an anchor and its paragraph can see.
     done, margin = 0, 2 * window + length + SHINGLE
     for first in range(0, n, SLAB):
-        a, b = max(0, first - margin), min(n, first + SLAB + margin)
+        a, b = max(0, min(first, done) - margin), min(n, first + SLAB + margin)
         words = text[starts[a] : ends[b - 1]].split()
         joined = b" ".join(words)
         h = shingle_hashes(words)
         found = anchors(h, window) if n > length else np.zeros(1, np.int64)
+        if cover:
+            # The text ends before what begins here does.
+            found = found[found + a + length <= n]
         ends_of_text = [k for k in (-a, n - length - a) if not (np.abs(found - k) <= APART).any()]
         found = np.unique(np.concatenate([found, np.array(ends_of_text, np.int64)]))
         found = found[(found + a >= done) & (found + a < first + SLAB) & (found + a + length <= n)]
         if not len(found):
             continue
+        if cover:
+            # From the last place of the slab before on.
+            found = fill(np.r_[done - 1 - a, found], length)[1:] if done else fill(found, length)
         done = int(found[-1]) + a + 1
         size = ends[a:b] - starts[a:b]
         upto = np.cumsum(size + 1)
-        last = found + length - 1
-        yield joined, found, np.stack([upto[found] - size[found] - 1, upto[last] - 1]), starts[a + found], ends[a + last], h
+        head, last = found, found + length - 1
+        if cover:
+            head, last = np.where(found + a <= APART, -a, head), np.where(last + a >= n - 1 - APART, n - 1 - a, last)
+        yield joined, found, np.stack([upto[head] - size[head] - 1, upto[last] - 1]), starts[a + head], ends[a + last], h
 
 
 def _keys(least: float, recall: float, length: int, seed: int):
@@ -200,16 +227,18 @@ def _keys(least: float, recall: float, length: int, seed: int):
     return [f"_b{k}" for k in range(n)], of
 
 
-def _paragraphs(names: list[str], keys, window: int, length: int):
+def _paragraphs(names: list[str], keys, window: int, length: int, cover: bool):
     """Paragraphs with their bands and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_128_digest
+        kind = np.dtype([("most", "<i8"), ("more", "<i4"), ("rest", "<i4")])
 
         def out(parts, bodies):
             ids, lines, starts, sizes, words, keys, has = (np.concatenate(c) for c in zip(*parts, strict=True))
+            digests = np.frombuffer(b"".join(map(digest, bodies)), kind)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids),
@@ -217,11 +246,12 @@ def _paragraphs(names: list[str], keys, window: int, length: int):
                     pa.array(starts),
                     pa.array(sizes.astype(np.int32)),
                     pa.array(words.astype(np.int32)),
-                    pa.array([digest(t) for t in bodies], pa.binary()),
+                    pa.array(digests["most"].copy()),
+                    pa.array(digests["more"].copy()),
                     pa.array(bodies, pa.binary()),
                     *[pa.array(keys[:, k], mask=~has[:, k]) for k in range(len(names))],
                 ],
-                names=["_id", "_par", "_start", "_length", "_words", "_digest", "_text", *names],
+                names=["_id", "_par", "_start", "_length", "_words", *DIGEST, "_text", *names],
             )
 
         parts, bodies = [], []
@@ -231,10 +261,13 @@ def _paragraphs(names: list[str], keys, window: int, length: int):
                     continue
                 body = text.as_buffer().to_pybytes().lower()
                 lines = np.flatnonzero(np.frombuffer(body, np.uint8) == 10)
-                for joined, found, place, start, end, h in cut(body, window, length):
-                    n, words = len(found), min(length, len(h) + SHINGLE - 1) if len(h) > 1 else joined.count(b" ") + 1
-                    bodies += [joined[a:b] for a, b in zip(*place.tolist(), strict=True)]
-                    parts.append((np.full(n, doc), np.searchsorted(lines, start), start, end - start, np.full(n, words), *keys(found, words, h)))
+                for joined, found, place, start, end, h in cut(body, window, length, cover):
+                    n, words = len(found), joined.count(b" ") + 1
+                    # What a paragraph takes in at an end of the text does not enter its bands.
+                    words = words if words <= length + (APART if cover else 0) else length
+                    new = [joined[a:b] for a, b in zip(*place.tolist(), strict=True)]
+                    bodies += new
+                    parts.append((np.full(n, doc), np.searchsorted(lines, start), start, end - start, np.array([t.count(b" ") + 1 for t in new]), *keys(found, words, h)))
                 if len(bodies) > 10_000:
                     yield out(parts, bodies)
                     parts, bodies = [], []
@@ -455,6 +488,7 @@ def paragraph_dedup(
     length: int = 20,
     recall: float = 0.97,
     seed: int = 11,
+    cover: bool = False,
 ) -> DataFrame:
     """``(<id_col>, paragraph, start, length, n_words, cluster_doc_id, cluster_start, cluster_size, removed)``.
 
@@ -463,7 +497,7 @@ def paragraph_dedup(
     byte in the UTF-8 text, ``length`` its bytes, ``paragraph`` the line where
     it starts, counted from 0.  The cluster is named by its earliest
     paragraph, which stays; all others have ``removed`` but those of the same
-    text that overlap it.
+    text that overlap it.  With ``cover`` every word lies in a paragraph.
 
     Defined cases: null and wordless texts have no paragraphs; a text of fewer
     than ``length`` words is one paragraph; rows with a null id are not read;
@@ -477,22 +511,24 @@ def paragraph_dedup(
         docs.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("binary").alias("_text"))
         .mapInArrow(
-            _paragraphs(names, keys, window, length),
-            "_id long, _par int, _start long, _length int, _words int, _digest binary, _text binary, " + ", ".join(f"{b} long" for b in names),
+            _paragraphs(names, keys, window, length, cover),
+            "_id long, _par int, _start long, _length int, _words int, _digest long, _more int, _text binary, " + ", ".join(f"{b} long" for b in names),
         )
         .withColumn("_pid", F.monotonically_increasing_id()),
         "paragraphs",
         compression="zstd",
     )
+    # One row per text, settled so that the shuffle behind it goes before the next one comes.
+    texts = settle(units.groupBy(*DIGEST).agg(F.min("_pid").alias("_pid"), *[F.first(b).alias(b) for b in names]).drop(*DIGEST), "paragraph-texts")
+    release(docs.sparkSession)
     banded = settle(
-        units.groupBy("_digest")
-        .agg(F.min("_pid").alias("_pid"), *[F.first(b).alias(b) for b in names])
-        .select(F.explode(F.array_compact(F.array(*names))).alias("_key"), "_pid")
+        texts.select(F.explode(F.array_compact(F.array(*names))).alias("_key"), "_pid")
         .repartition(F.col("_key"))
         .sortWithinPartitions("_key")
         .mapInArrow(_met, "_key long, _pid long"),
         "paragraph-bands",
     )
+    forget(texts)
     release(docs.sparkSession)
     # Buckets with the same members say the same; one of them is enough.
     full = (
@@ -527,18 +563,21 @@ def paragraph_dedup(
     forget(bodies)
     release(docs.sparkSession)
     comp = connected_components(links, "paragraph-cc")
-    grouped = (
-        units.groupBy("_digest")
+    grouped = settle(
+        units.groupBy(*DIGEST)
         .agg(F.min("_pid").alias("_rep"), F.count("*").alias("_copies"))
         .join(comp, F.col("_rep") == F.col("node"), "left")
         .where("node IS NOT NULL OR _copies > 1")
-        .select("_digest", F.coalesce("component", "_rep").alias("_cluster"))
+        .select(*DIGEST, F.coalesce("component", "_rep").alias("_cluster")),
+        "paragraph-groups",
     )
+    release(docs.sparkSession)
     place = ["_id", "_start"]
     found = settle(
-        units.select("_id", "_par", "_start", "_length", "_words", "_digest").join(grouped, "_digest").drop("_digest"), "paragraph-clusters"
+        units.select("_id", "_par", "_start", "_length", "_words", *DIGEST).join(grouped, DIGEST).drop(*DIGEST), "paragraph-clusters"
     )
     forget(units)
+    forget(grouped)
     release(docs.sparkSession)
     # Settled, so that the join below is a plain one that can be split where a cluster is hot.
     first = settle(found.groupBy("_cluster").agg(F.min(F.struct(*place, "_length")).alias("_first"), F.count("*").alias("cluster_size")), "paragraph-first")

@@ -18,7 +18,7 @@ from ._shared import table
 
 
 def op1_paragraph_dedup(spark, sf_dir):
-    return _paragraphs.paragraph_dedup(table(spark, sf_dir, "documents"))
+    return _paragraphs.paragraph_dedup(table(spark, sf_dir, "documents"), cover=True)
 
 
 def op2_suffix_dedup(spark, sf_dir):

@@ -273,6 +273,68 @@ def test_paragraphs_against_brute_force(spark, monkeypatch):
     assert [r.removed for r in found if r.doc_id == 206] == [True, True]
 
 
+def _covering_by_hand(text, window=30, length=20):
+    """Starts, ends and words of paragraphs that leave out no word: anchors, gaps filled, ends taken in."""
+    body = (text or "").encode().lower()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", body)]
+    words = [body[a:b] for a, b in spans]
+    n = len(words)
+    if n <= length + 1:
+        return [(spans[0][0], spans[-1][1], words)] if n else []
+    begins = [s for s, _ in spans]
+    at = {k for a, _, _ in _paragraphs_by_hand(text, window, length) for k in [begins.index(a)]}
+    at |= {k for k in (0, n - length) if not at & set(range(k - 1, k + 2))}
+    at, out = sorted(at), []
+    for a, b in zip(at, [*at[1:], None], strict=True):
+        parts = 1 if b is None else -(-(b - a) // length)
+        out += [a + (0 if b is None else (b - a) * j // parts) for j in range(parts)]
+    edges = [(0 if k <= 1 else k, n if k + length >= n - 1 else k + length) for k in out]
+    return [(spans[a][0], spans[b - 1][1], words[a:b]) for a, b in edges]
+
+
+def test_covering_paragraphs_leave_out_no_word(spark, monkeypatch):
+    from leafmill.llm import paragraph_dedup as pd
+
+    rng = random.Random(18)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in [*range(1, 90), 300, 1000]]
+    texts += [" ".join(rng.choice("abc") for _ in range(500)), "same " * 700, "a b\nc d " * 60, "", " \n"]
+
+    def cut(text):
+        return [(a, b, joined[x:y].split()) for joined, _, place, start, end, _ in pd.cut(text.encode(), 30, 20, True) for x, y, a, b in zip(*place, start, end, strict=True)]
+
+    found = [cut(t) for t in texts]
+    assert found[:91] == [_covering_by_hand(t) for t in texts[:91]]
+    monkeypatch.setattr(pd, "SLAB", 97)
+    in_slabs = [cut(t) for t in texts]
+    assert in_slabs[:91] == found[:91]
+    for text, paragraphs in zip(texts * 2, found + in_slabs, strict=True):
+        held = np.zeros(len(text), bool)
+        for a, b, words in paragraphs:
+            held[a:b] = True
+            assert text[a:b].encode().split() == words
+        assert all(held[k] for k in range(len(text)) if not text[k].isspace())
+    # Of two equal texts every word of the later one goes, by the query's paragraphs.
+    rows = [(i, texts[k]) for i, k in enumerate([89, 90, 25, 20, 90, 25, 89, 20])]
+    out = collections.defaultdict(list)
+    for r in paragraph_dedup(_docs(spark, rows), cover=True).collect():
+        out[r.doc_id].append(r)
+        assert r.removed == (r.doc_id > 3) and r.cluster_size == 2
+    for i, t in rows:
+        assert {(r.start, r.length, r.n_words) for r in out[i]} == {(a, b - a, len(w)) for a, b, w in _covering_by_hand(t)}
+
+
+def test_the_paragraph_query_reads_every_word(spark, tmp_path):
+    from leafmill.llm.queries import op1_paragraph_dedup
+
+    rng = random.Random(19)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(600))
+    _docs(spark, [(1, text), (2, text)]).write.parquet(f"{tmp_path}/documents.parquet")
+    held = np.zeros(len(text), bool)
+    for r in op1_paragraph_dedup(spark, str(tmp_path)).where("removed and doc_id = 2").collect():
+        held[r.start : r.start + r.length] = True
+    assert all(held[k] for k in range(len(text)) if text[k] != " ")
+
+
 def test_close_sets_lose_no_link():
     from leafmill.llm.paragraph_dedup import _few_sets, close_sets, shingle_hashes, shingle_sets
 
