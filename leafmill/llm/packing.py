@@ -24,8 +24,8 @@ from ._shared import settle
 PLAIN = r"[\t\n\r\x20-\x7e¡-ɏ]*"
 #: The split of the tokenizer file (fixed value).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks, and pieces, that a worker remembers before it starts anew, and the letters they have together.
-REMEMBERED, LETTERS = 100_000, 2_000_000
+#: Chunks and pieces that a worker remembers in one generation, and the letters they have together.
+REMEMBERED, LETTERS = 200_000, 4_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -40,8 +40,10 @@ class Encoder:
 
     The tokenizer lower-cases, drops white space and then treats every piece
     of its split on its own, and no piece crosses white space; so the ids of a
-    chunk between white space can be kept, and those of its pieces.  Only
-    texts whose characters leave no doubt about normalisation are split here.
+    chunk between white space can be kept, and those of its pieces.  A full
+    generation of them becomes the older one, from which what comes again is
+    taken over, so frequent chunks stay.  Only texts whose characters leave no
+    doubt about normalisation are split here.
     """
 
     def __init__(self, path: str | None = None):
@@ -55,38 +57,48 @@ class Encoder:
         self.plain = regex.compile(PLAIN).fullmatch
         self.letters = _byte_letters()
         self.wide = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
+        self.spelled = [np.array(i, self.wide).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
+    def _whole(self, piece: str) -> bytes:
+        # Printable ASCII stands for itself.
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.spelled[t.id] for t in self.model.tokenize(letters)])
+
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
+        found = self.chunks.get(piece)
         if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.model.tokenize(spelled)], self.wide).tobytes()
-            self.pieces[piece] = found
+            found = self.older.get(piece)
+            self.chunks[piece] = found = self._whole(piece) if found is None else found
+            self.held += len(piece)
         return found
 
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._whole(chunk)
+        # Letters and one other character are two pieces.
+        pieces = (chunk[:-1], chunk[-1]) if chunk[:-1].isalpha() else self.split(chunk)
+        return b"".join(map(self._piece, pieces))
+
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) >= REMEMBERED or self.held >= LETTERS:
-            self.chunks.clear()
-            self.pieces.clear()
-            self.held = 0
-        for c in chunks:
-            if c not in self.chunks:
-                self.chunks[c] = b"".join(map(self._piece, self.split(c)))
-                self.held += len(c)
+        new = set(chunks).difference(self.chunks)
+        if new and (len(self.chunks) >= REMEMBERED or self.held >= LETTERS):
+            self.older, self.chunks, self.held = self.chunks, {}, 0
+            new = set(chunks)
+        for c in new:
+            found = self.older.get(c)
+            self.chunks[c] = self._chunk(c) if found is None else found
+        self.held += sum(map(len, new))
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if self.split is None or "<|" in text or not self.plain(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
         chunks = text.lower().split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-            return b"".join(map(self.chunks.__getitem__, chunks))
+        self._learn(chunks)
+        return b"".join(map(self.chunks.__getitem__, chunks))
 
 
 _ENCODERS: dict[str | None, Encoder] = {}

@@ -70,6 +70,30 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(e(t), e.wide).tolist() == want.ids
 
 
+def test_encoder_keeps_what_comes_again(monkeypatch):
+    """Ids equal the tokenizer's across generations, and a chunk in every text is tokenized once."""
+    from leafmill.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    rng = random.Random(14)
+    odd = ["it's", "'ll", "x'", "..'s", "é", "été,", "Ça!", "a1", "12", "²", "don't'S", "ªb", "(a)", "l'été", "İx", "naïve-é"]
+    texts = [" ".join(["often", "often,", *("".join(rng.choices("abcdé", k=4)) + rng.choice(["", ",", "'", "1", "½"]) for _ in range(15)), *rng.choices(odd, k=4)]) for _ in range(80)]
+    e, met = Encoder(), collections.Counter()
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            met[piece] += 1
+            return self.model.tokenize(piece)
+
+    e.model = Model(e.model)
+    for t, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e(t), e.wide).tolist() == want.ids
+    assert met["often"] <= 2 and met[","] <= 1 and len(e.chunks) + len(e.older) < 200
+
+
 def test_packing_round_trip(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choices(["alpha", "Beta", "gamma,", "d'été"], k=rng.randint(0, 90)))) for i in range(120)]
