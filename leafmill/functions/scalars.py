@@ -106,6 +106,17 @@ def escape_html(value: Column) -> Column:
     return value
 
 
+def written_title(html: Column) -> Column:
+    """Title of a page as it is written: of its references only ``&lt;``, ``&gt;`` and ``&amp;`` are resolved.
+
+    The ``title`` that the reader puts into the metadata has all of them resolved.
+    """
+    title = F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1))
+    for reference, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(reference), F.lit(char))
+    return title
+
+
 def split_page_range(pages: Column) -> Column:
     """``struct(kind, first, last)``: single, range or ambiguous."""
     p = F.trim(pages)

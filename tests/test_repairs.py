@@ -81,3 +81,19 @@ def test_upsert_settles_ties_by_content(spark):
     a, b = [spark.createDataFrame([("p", "c", True, None, x, 1)], cols) for x in ("{1}", "{2}")]
     assert C.upsert(a, b, "at").collect() == C.upsert(b, a, "at").collect()
     assert C.upsert(a, b.withColumn("at", F.lit(2)), "at").first().features_json == "{2}"
+
+
+def test_page_titles_are_those_of_the_twin(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from leafmill.plans import registry
+
+    pages = [
+        "<title>token = &quot;x&quot;</title>", "<title>a&amp;&amp</title>", "<title> &amp;lt; &lt;b&gt; </title>", "<title>\tone\ntwo </title>",
+        "<title>first</title><svg><title>second</title></svg>", '<meta property="og:title" content="other">', '<title lang="en">no</title>', "<TITLE>no</TITLE>",
+        "<title></title>", "<title>open", "&lt;title>no&lt;/title>", "<title>caf\u00e9 $1 \\\\</title>", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, title FROM ({registry.ORACLE_SQL['page_titles']}) ORDER BY page_id").fetchall()
+    assert [tuple(r) for r in registry.QUERIES["page_titles"](spark, str(tmp_path)).orderBy("page_id").collect()] == want
