@@ -97,3 +97,33 @@ def test_page_titles_are_those_of_the_twin(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     want = con.execute(f"SELECT page_id, title FROM ({registry.ORACLE_SQL['page_titles']}) ORDER BY page_id").fetchall()
     assert [tuple(r) for r in registry.QUERIES["page_titles"](spark, str(tmp_path)).orderBy("page_id").collect()] == want
+
+
+def test_workers_hand_on_rows_before_they_have_read_all_documents():
+    """Rows of a whole Arrow batch of documents (10,000) were held at once."""
+    from leafmill.model import NODES
+
+    read = []
+
+    def parsed(n, size, count):
+        for i in range(n):
+            read.append(i)
+            yield size, [(i, k, None, 0, 0, 0, "text", "x", None, "{}") for k in range(count)]
+
+    batches = D.in_batches(parsed(10_000, 10, 70), NODES)
+    assert next(batches).num_rows == D.ROWS and len(read) <= D.ROWS // 70 + 1
+    assert D.ROWS + sum(b.num_rows for b in batches) == 700_000
+    read.clear()
+    assert next(D.in_batches(parsed(10_000, D.CHARS // 4, 70), NODES)).num_rows == 280 and len(read) == 4
+    assert [b.num_rows for b in D.in_batches(parsed(1, 10, D.ROWS + 1), NODES)] == [D.ROWS, 1]
+    assert list(D.in_batches(parsed(3, D.CHARS, 0), NODES)) == []
+
+
+def test_nodes_of_many_pages(spark):
+    pages = [(i, f"<h1>t{i}</h1><p>a<b>b</b>") for i in range(3_000)] + [(None, "<p>no"), (9_999, None)]
+    got = D.nodes(spark.createDataFrame(pages, "id long, html string").coalesce(1), "html", "id", "html")
+    assert got.count() == 7 * 3_000 + 1
+    assert [tuple(r) for r in got.where("doc_id = 2999").select("node_id", "parent_id", "kind", "content", "level").orderBy("node_id").collect()] == [
+        (0, None, "document", None, None), (1, 0, "heading", None, 1), (2, 1, "text", "t2999", None), (3, 0, "paragraph", None, None),
+        (4, 3, "text", "a", None), (5, 3, "strong", None, None), (6, 5, "text", "b", None),
+    ]
