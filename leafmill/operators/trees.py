@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .stage import gathered
 
 
 def with_paths(nodes: DataFrame) -> DataFrame:
     """Add ``place`` (child indexes, ``/0/2/1``; the root ``/``) and ``path`` (``/paragraph[1]/text[2]``).
 
     A step of ``path`` counts siblings of its own kind, so an inserted node
-    moves only those of its kind behind it.  Needs one document in a task, as
-    parsing does.
+    moves only those of its kind behind it.  A task goes through its documents
+    in pre-order and holds the paths of one document.
     """
-    siblings = Window.partitionBy("doc_id", "parent_id", "kind").orderBy("ordinal")
-    stepped = nodes.withColumn("_nth", F.row_number().over(siblings))
+    first = ["doc_id", "node_id"]
+    ready = nodes.where("doc_id IS NOT NULL").select(*first, *[c for c in nodes.columns if c not in first])
+    schema = StructType([*ready.schema.fields, StructField("place", StringType()), StructField("path", StringType())])
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id", ignore_index=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc = None
         at: dict[int, tuple[str, str]] = {}
-        for node, parent, ordinal, kind, nth in zip(pdf["node_id"], pdf["parent_id"], pdf["ordinal"], pdf["kind"], pdf["_nth"], strict=True):
-            above = None if pd.isna(parent) else at.get(int(parent))
-            at[node] = ("", "") if above is None else (f"{above[0]}/{int(ordinal)}", f"{above[1]}/{kind}[{nth}]")
-        pdf["place"] = [at[n][0] or "/" for n in pdf["node_id"]]
-        pdf["path"] = [at[n][1] or "/" for n in pdf["node_id"]]
-        return pdf[["doc_id", "node_id", "place", "path"]]
-
-    ids = stepped.select("doc_id", "node_id", "parent_id", "ordinal", "kind", "_nth")
-    schema = f"doc_id {dict(nodes.dtypes)['doc_id']}, node_id int, place string, path string"
-    return nodes.join(ids.groupBy("doc_id").applyInPandas(walk, schema), ["doc_id", "node_id"])
+        nth: dict[tuple, int] = {}
+        for batch in batches:
+            places, paths = [], []
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "node_id", "parent_id", "ordinal", "kind")]
+            for i, node, parent, ordinal, kind in zip(*columns, strict=True):
+                if i != doc:
+                    doc, at, nth = i, {}, {}
+                above = at.get(parent)
+                if above is None:
+                    place = path = ""
+                else:
+                    n = nth[parent, kind] = nth.get((parent, kind), 0) + 1
+                    place, path = f"{above[0]}/{ordinal}", f"{above[1]}/{kind}[{n}]"
+                at[node] = place, path
+                places.append(place or "/")
+                paths.append(path or "/")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.string()), pa.array(paths, pa.string())], [f.name for f in schema])
+
+    return gathered(ready, "node_id").mapInArrow(run, schema)
 
 
 def at_place(nodes: DataFrame, place: str) -> DataFrame:

@@ -113,3 +113,34 @@ def test_selection_of_documents(spark):
     assert ids() == [1, 2, 3] and ids(**C.preset("nothing such")) == [1, 2, 3]
     assert ids(**C.preset("interesting")) == [2, 3] and ids(**C.preset("minimal")) == [1, 3] and ids(**C.preset("tables")) == [1]
     assert ids(case_types=("links", "images"), min_severity="rare") == [3]
+
+
+def test_documents_stay_whole_when_the_plan_adapts(spark):
+    """Roots and other nodes of turn trees come from two branches, which the adaptive plan cuts into different partitions."""
+    from leafmill.operators import documents as D
+    from leafmill.operators import transforms as T
+
+    n = 3_000
+    turns = spark.range(4 * n).selectExpr("id div 4 AS conv_id", "id % 4 AS turn", "'user' AS role", "repeat('text ', 60) AS text")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k, v in zip(held, ("16", "false", "100k"), strict=True):
+            spark.conf.set(k, v)
+        nodes = D.turn_nodes(turns)
+        paths = R.with_paths(nodes).groupBy("path").count().collect()
+        assert len(paths) == 1 + 6 * 4 and {r["count"] for r in paths} == {n}
+        got = R.compare_trees(nodes, T.merge_text(T.shift_headings(nodes, 1))).groupBy("difference").count().collect()
+        assert {tuple(r) for r in got} == {("attribute_changed", 4 * n), ("text_changed", 4 * n), ("missing_element", 8 * n)}
+        out = D.emit(nodes, "markdown")
+        assert out.count() == n and out.selectExpr("count(DISTINCT output)").first()[0] == 1
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_paths_take_one_walk_without_a_group_for_each_document(spark):
+    plan = R.with_paths(_nodes(spark, m.doc(m.para("a"))))._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "Join" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+    # Nodes whose parent is not in the table begin anew; those of no document have no path.
+    rows = [(1, 4, 9, 0, 2, 4, "text", "x", None, "{}"), (1, 5, 4, 3, 3, 5, "text", "y", None, "{}"), (None, 0, None, 0, 0, 0, "document", None, None, "{}")]
+    assert _rows(R.with_paths(spark.createDataFrame(rows, m.NODES)).select("node_id", "place", "path")) == [(4, "/", "/"), (5, "/3", "/text[1]")]
