@@ -127,3 +127,21 @@ def test_nodes_of_many_pages(spark):
         (0, None, "document", None, None), (1, 0, "heading", None, 1), (2, 1, "text", "t2999", None), (3, 0, "paragraph", None, None),
         (4, 3, "text", "a", None), (5, 3, "strong", None, None), (6, 5, "text", "b", None),
     ]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_written_where_they_are_read(spark, tmp_path):
+    """Nodes of every page were shuffled and written in a pandas group each."""
+    from leafmill.plans import registry
+
+    pages = [(1, "<h1>Größe</h1><p>a <b>b</b><ul><li>x<li>y</ul>"), (2, ""), (3, "<table><tr><th>h<tr><td>c|d</table><pre>x\n y</pre>"), (4, None), (None, "<p>no")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["page_to_markdown"](spark, str(tmp_path))
+    assert "Exchange" not in _plan(got) and "InPandas" not in _plan(got)
+    one_pass = {r.doc_id: r.output for r in got.collect()}
+    by_nodes = {r.doc_id: bytes(r.output).decode() for r in D.emit(D.nodes(df, "html", "page_id", "html"), "markdown").collect()}
+    assert one_pass == by_nodes and set(one_pass) == {1, 2, 3, 4} and "# Größe" in one_pass[1]
