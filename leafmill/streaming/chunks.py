@@ -12,25 +12,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import NODES, flatten
+from ..operators.documents import in_batches
+from ..operators.stage import gathered
 
 STATE = "parts map<int,binary>, last int"
 NAMES = [c.split(" ")[0] for c in NODES.split(", ")]
 
 
-def _parsed(fmt: str, doc_id: int, body: bytes) -> pd.DataFrame:
+def _rows(fmt: str, doc_id: int, body: bytes) -> list[tuple]:
     from ..sources.registry import BINARY, parse
 
     try:
         source = body if fmt in BINARY else body.decode("utf-8", "replace")
-        rows = flatten(int(doc_id), parse(fmt, source).root)
+        return flatten(int(doc_id), parse(fmt, source).root)
     except Exception:  # a failed document has no nodes
-        rows = []
-    out = pd.DataFrame(rows, columns=NAMES)
+        return []
+
+
+def _parsed(fmt: str, doc_id: int, body: bytes) -> pd.DataFrame:
+    out = pd.DataFrame(_rows(fmt, doc_id, body), columns=NAMES)
     for c in ("parent_id", "level"):
         out[c] = out[c].astype("Int32")
     return out
@@ -40,27 +46,36 @@ def split_chunks(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
     """Cut texts into chunks of ``size`` bytes."""
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(body) / size)).cast("int")
-    rows = df.select(F.col(id_col).alias("doc_id"), body.alias("_b"), n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
-    return rows.select("doc_id", "seq", F.substring("_b", F.col("seq") * size + 1, F.lit(size)).alias("bytes"), (F.col("seq") == F.col("_n") - 1).alias("is_last"))
+    # Only the cut parts are exploded, as every exploded row would hold the whole text beside its part.
+    part = lambda k: F.struct(k.alias("seq"), F.substring(body, k * size + 1, F.lit(size)).alias("bytes"), (k == n - 1).alias("is_last"))
+    return df.select(F.col(id_col).alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), n - 1), part)).alias("c")).select("doc_id", "c.*")
 
 
 def parse_chunks(chunks: DataFrame, fmt: str) -> DataFrame:
-    """``nodes`` of a finished set of chunks; of repeated chunks one counts."""
-    one = F.max(F.struct("seq", "bytes"))
-    whole = (
-        chunks.where("doc_id IS NOT NULL")
-        .groupBy("doc_id", "seq")
-        .agg(one.alias("c"))
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list("c")).alias("parts"))
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc_id, parts in zip(pdf["doc_id"], pdf["parts"], strict=True):
-                yield _parsed(fmt, doc_id, b"".join(bytes(p["bytes"]) for p in parts))
-
-    return whole.mapInPandas(run, NODES)
+    """``nodes`` of a finished set of chunks; of repeated chunks one counts, the greatest."""
+    whole = gathered(chunks.where("doc_id IS NOT NULL").select("doc_id", "seq", "bytes"), "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parsed():
+            doc, at, parts = None, None, []
+            for batch in batches:
+                for i, seq, body in zip(*batch.columns, strict=True):
+                    i, seq, body = i.as_py(), seq.as_py(), body.as_py()
+                    if i != doc:
+                        if parts:
+                            yield sum(map(len, parts)), _rows(fmt, doc, b"".join(parts))
+                        doc, at, parts = i, seq, [body]
+                    elif seq == at:
+                        parts[-1] = max(parts[-1], body)
+                    else:
+                        at = seq
+                        parts.append(body)
+            if parts:
+                yield 0, _rows(fmt, doc, b"".join(parts))
+
+        yield from in_batches(parsed(), NODES)
+
+    return whole.mapInArrow(run, NODES)
 
 
 def parse_stream(chunks: DataFrame, fmt: str, timeout: str | None = None) -> DataFrame:

@@ -19,6 +19,18 @@ def test_any_cut_gives_the_same_nodes(spark, size):
     assert _rows(parse_chunks(chunks.union(chunks).repartition(3), "html")) == _rows(D.nodes(df, "html", "id", "html"))
 
 
+def test_chunks_are_shuffled_once_and_cut_without_the_rest_of_their_text(spark):
+    df = spark.createDataFrame(PAGES, "id long, html string")
+    chunks = split_chunks(df, "id", "html", 7)
+    generate = [line for line in chunks._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in line]
+    assert len(generate) == 1 and "html" not in generate[0].split("], false, [")[0].rsplit(", [", 1)[-1]
+    plan = parse_chunks(chunks, "html")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan and "InPandas" not in plan
+    # Of repeated chunks the greatest counts, wherever it stands.
+    twice = spark.createDataFrame([(1, 0, b"<p>b"), (1, 0, b"<p>a"), (1, 1, b"c"), (2, 0, b"<p>x"), (None, 0, b"<p>no")], "doc_id long, seq int, bytes binary")
+    assert [r[3] for r in _rows(parse_chunks(twice, "html")) if r[2] == "text"] == ["bc", "x"]
+
+
 def test_stream(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "id long, html string")
     chunks = split_chunks(df, "id", "html", 5)
