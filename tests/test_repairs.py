@@ -145,3 +145,18 @@ def test_pages_are_written_where_they_are_read(spark, tmp_path):
     one_pass = {r.doc_id: r.output for r in got.collect()}
     by_nodes = {r.doc_id: bytes(r.output).decode() for r in D.emit(D.nodes(df, "html", "page_id", "html"), "markdown").collect()}
     assert one_pass == by_nodes and set(one_pass) == {1, 2, 3, 4} and "# Größe" in one_pass[1]
+
+
+def test_only_the_columns_asked_for_leave_the_parser(spark, tmp_path):
+    from leafmill.plans import registry
+
+    pages = [(1, "<h1 id=a>x</h1><h1>y<h2>z</h2><p>a <b>b</b><ul><li>x"), (2, ""), (3, "<p>no heading"), (None, "<h1>no")]
+    df = spark.createDataFrame(pages, "page_id long, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    whole = D.nodes(df, "html", "page_id", "html")
+    few = D.nodes(df, "html", "page_id", "html", ("level", "doc_id"))
+    assert few.columns == ["level", "doc_id"] and sorted(map(repr, few.collect())) == sorted(map(repr, whole.select("level", "doc_id").collect()))
+    run = {n: registry.QUERIES[n](spark, str(tmp_path)) for n in ("page_kind_census", "page_headings")}
+    assert not any("props" in _plan(df) for df in run.values())
+    assert run["page_kind_census"].collect() == C.kind_census(whole).collect()
+    assert [tuple(r) for r in run["page_headings"].collect()] == [(1, 2)]
