@@ -156,7 +156,8 @@ def test_only_the_columns_asked_for_leave_the_parser(spark, tmp_path):
     whole = D.nodes(df, "html", "page_id", "html")
     few = D.nodes(df, "html", "page_id", "html", ("level", "doc_id"))
     assert few.columns == ["level", "doc_id"] and sorted(map(repr, few.collect())) == sorted(map(repr, whole.select("level", "doc_id").collect()))
-    run = {n: registry.QUERIES[n](spark, str(tmp_path)) for n in ("page_kind_census", "page_headings")}
+    run = {n: registry.QUERIES[n](spark, str(tmp_path)) for n in ("page_kind_census", "page_headings", "page_features")}
     assert not any("props" in _plan(df) for df in run.values())
     assert run["page_kind_census"].collect() == C.kind_census(whole).collect()
     assert [tuple(r) for r in run["page_headings"].collect()] == [(1, 2)]
+    assert sorted(run["page_features"].collect()) == sorted(C.node_features(whole).collect())
