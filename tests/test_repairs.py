@@ -161,3 +161,14 @@ def test_only_the_columns_asked_for_leave_the_parser(spark, tmp_path):
     assert run["page_kind_census"].collect() == C.kind_census(whole).collect()
     assert [tuple(r) for r in run["page_headings"].collect()] == [(1, 2)]
     assert sorted(run["page_features"].collect()) == sorted(C.node_features(whole).collect())
+
+
+def test_strip_and_merge_parses_in_bounded_batches(spark, tmp_path):
+    from leafmill.plans import registry
+
+    df = spark.createDataFrame([(1, "<div><p>a</p></div><p></p><div><span>x</span></div>"), (2, "<p>b<b>c</b>"), (3, None)], "page_id long, html string")
+    plan = _plan(D.nodes(df, "html", "page_id", "html"))
+    assert "MapInArrow" in plan and "InPandas" not in plan
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.QUERIES["page_strip_and_merge"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [("document", 3), ("paragraph", 2), ("strong", 1), ("text", 4)]
